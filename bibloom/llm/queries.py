@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bibloom.llm import exact_dedup, packing, secret_scan, sharding
+from bibloom.llm import exact_dedup, media, packing, pieces, secret_scan, sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_secret_ledger": secret_scan.query,
         "op3_exact_dedup": exact_dedup.query,
         "op6_two_pass_shuffle": sharding.query,
+        "op7_piece_offsets": pieces.query,
+        "op8_webp_lossless": media.query,
     }
 
 
