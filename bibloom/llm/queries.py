@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bibloom.llm import exact_dedup, media, packing, pieces, secret_scan, sharding
+from bibloom.llm import exact_dedup, license_scan, media, packing, pieces, pii, secret_scan, sharding
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op6_two_pass_shuffle": sharding.query,
         "op7_piece_offsets": pieces.query,
         "op8_webp_lossless": media.query,
+        "op9_pii_disclosure": pii.query,
+        "op10_license_index": license_scan.query,
     }
 
 
