@@ -92,10 +92,11 @@ def base_spans(df: DataFrame, text: str, name: str = "entities") -> DataFrame:
         "card": lambda s: F.when(length(s).between(12, 19), luhn(_digits(s["value"]))).otherwise(False),
         "phone": lambda s: length(s).between(9, 15),
     }
-    parts = [
-        F.transform(F.filter(f"__{k}", keep[k]), lambda s, rank=rank: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
-        for rank, k in enumerate(KINDS)
-    ]
+    def ranked(rank: int) -> Column:
+        kept = F.filter(f"__{KINDS[rank]}", keep[KINDS[rank]])
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
+
+    parts = [ranked(rank) for rank in range(len(KINDS))]
     listed = F.array(*map(F.lit, KINDS))
     spans = F.transform(F.array_sort(F.concat(*parts)), lambda s: F.struct(F.get(listed, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return df.withColumn(name, spans).drop("__host", "__number", *[f"__{k}" for k in KINDS])
