@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bibloom.llm import exact_dedup, license_scan, media, packing, pieces, pii, quality, secret_scan, sharding
+from bibloom.llm import exact_dedup, license_scan, media, near_dedup, packing, pieces, pii, quality, secret_scan, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_length_buckets": packing.query,
         "op2_secret_ledger": secret_scan.query,
         "op3_exact_dedup": exact_dedup.query,
+        "op4_bayes_minhash": near_dedup.query,
         "op5_latent_vote": quality.query,
         "op6_two_pass_shuffle": sharding.query,
         "op7_piece_offsets": pieces.query,
