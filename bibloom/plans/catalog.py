@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibloom.plans import graph
+from bibloom.plans import graph, text
 
-MODULES = (graph,)
+MODULES = (graph, text)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,29 @@ RECIPES = {
         SELECT p_brand AS brand, paper_id AS seed_id FROM (
             SELECT p_brand, source_paper_id AS paper_id, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, source_paper_id) AS r
             FROM edges JOIN part ON source_paper_id = concat('P', p_partkey) GROUP BY p_brand, source_paper_id) y WHERE r = 1""",
+    "texts": """
+        SELECT concat('P', p_partkey) AS paper_id, CASE WHEN p_partkey % 3 = 0 THEN 'abstract' WHEN p_partkey % 3 = 1 THEN 'methods' ELSE 'full_text' END AS section,
+            CASE p_partkey % 10
+            WHEN 0 THEN concat('A total of ', q, ' patients were randomized in 2019. Then 0.5% of ', r, ' women were followed for a year!')
+            WHEN 1 THEN concat('We screened ', q, ' participants. The sample size was N=', r, '; dose of 0.5 mg daily.')
+            WHEN 2 THEN concat('We report data from the first ', q, ' laboratory-confirmed cases through January 29, 2020.')
+            WHEN 3 THEN concat('The study included ', q, ' consecutive patients (n = ', r, '). Enrolled ', r, ' by 2021?')
+            WHEN 4 THEN concat('A cohort of ', q, ' adult subjects; ', r, ' patients completed treatment, p < 0.05.')
+            WHEN 5 THEN concat('We trained the model on ', q, ' thousand images and tested on ', r, ' images.')
+            WHEN 6 THEN concat('The dataset has ', q, ' documents. A benchmark of ', r, ' million sentence pairs was collected. It has ', q, ' records.')
+            WHEN 7 THEN concat('Group (n = ', q, ') analyzed ', r, ' and 2,', 100 + r % 800, ' volunteers, 95% CI.')
+            WHEN 8 THEN '' ELSE NULL END AS text
+        FROM (SELECT p_partkey, CAST(coalesce(sum(l_quantity), 7) AS BIGINT) AS q, CAST(coalesce(count(l_orderkey), 0) AS BIGINT) + 2 AS r
+              FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey) x""",
+    "raw_ids": """
+        SELECT p_partkey AS id, CASE p_partkey % 16
+            WHEN 0 THEN concat('https://doi.org/10.1234/ABC.', p_partkey) WHEN 1 THEN concat('10.3389/Fcomp.', p_partkey, '/full')
+            WHEN 2 THEN concat('doi:10.5555/X', p_partkey) WHEN 3 THEN concat('https://pubmed.ncbi.nlm.nih.gov/', 1000 + p_partkey, '/')
+            WHEN 4 THEN concat('https://www.ncbi.nlm.nih.gov/pmc/articles/PMC', p_partkey, '/') WHEN 5 THEN concat('pmc', p_partkey)
+            WHEN 6 THEN concat('PMID: ', p_partkey) WHEN 7 THEN concat('', p_partkey) WHEN 8 THEN concat('w', p_partkey)
+            WHEN 9 THEN concat(' ', p_name, ' of the ', lower(p_type), ' ') WHEN 10 THEN concat('10.1000/', p_partkey, '/456') WHEN 11 THEN concat('9', p_partkey, '/AbC')
+            WHEN 12 THEN concat('10.1002/s', p_partkey, '/Abstract/pdf') WHEN 13 THEN '   ' WHEN 14 THEN NULL ELSE concat('PMCID: PMC', p_partkey) END AS raw
+        FROM part""",
 }
 NEEDS = {"edges": ("pairs",), "seeds": ("edges",)}
 
