@@ -16,7 +16,9 @@ import numpy as np
 SPACE = "▁"
 # Fixed values of the model format: kinds of pieces
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE = 400_000
+CACHE = 600_000
+SHORT = 48
+NEVER = float("inf")
 
 
 def fields(data: bytes):
@@ -119,6 +121,7 @@ class PieceModel:
         self.mark = SPACE if spec.get(5, 1) else " "
         self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == NORMAL}
         self.scores = {p: s for p, s, kind in self.pieces if kind == NORMAL}
+        self.costs = {p: -s for p, s in self.scores.items()}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         apart = self.mark == SPACE and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s:.+)")
@@ -178,6 +181,22 @@ class PieceModel:
 
     def _merge(self, segment: str) -> list[str]:
         """Best-scored neighbours merge first, the leftmost of equals."""
+        if len(segment) > SHORT:
+            return self._merge_long(segment)
+        cost, parts = self.costs, list(segment)
+        costs = [cost.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while costs and (best := min(costs)) < NEVER:
+            i = costs.index(best)
+            parts[i : i + 2] = [whole := parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = cost.get(parts[i - 1] + whole, NEVER)
+            if i < len(costs):
+                costs[i] = cost.get(whole + parts[i + 1], NEVER)
+        return parts
+
+    def _merge_long(self, segment: str) -> list[str]:
+        """The same with a heap, for segments where looking through all neighbours is slow."""
         parts: list[str | None] = list(segment)
         n = len(parts)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -215,7 +234,8 @@ class PieceModel:
             else:
                 ids.append(self.unk)
                 sizes.append(len(part))
-        out = np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
+        form = f"<{len(ids)}I"
+        out = struct.pack(form, *ids), struct.pack(form, *sizes)
         if len(segment) <= 64:
             if len(self.known) >= CACHE:
                 self.known.clear()
