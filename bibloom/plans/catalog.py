@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibloom.plans import graph, text
+from bibloom.plans import graph, records, text
 
-MODULES = (graph, text)
+MODULES = (graph, text, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
