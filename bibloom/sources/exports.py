@@ -77,7 +77,7 @@ def split_author(name: Column) -> Column:
     last = F.substring_index(t, " ", -1)
     given = F.trim(F.substring(t, F.lit(1), F.length(t) - F.length(last)))
     parts = F.concat_ws(", ", F.trim(F.substring_index(t, ",", 1)), F.nullif(F.trim(F.substring(t, F.locate(",", t) + 1, F.length(t))), F.lit("")))
-    return F.when(t == "", None).when(F.contains(t, F.lit(",")), parts).when(given == "", last).otherwise(F.concat_ws(", ", last, given))
+    return F.when(t.isNull() | (t == ""), None).when(F.contains(t, F.lit(",")), parts).when(given == "", last).otherwise(F.concat_ws(", ", last, given))
 
 
 def ris(papers: DataFrame) -> DataFrame:
