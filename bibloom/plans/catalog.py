@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibloom.plans import graph, records, text
+from bibloom.plans import graph, records, text, views
 
-MODULES = (graph, text, records)
+MODULES = (graph, text, records, views)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
