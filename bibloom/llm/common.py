@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -44,6 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Texts go to Python by fewer rows at a time in the actions inside, so that workers hold less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: smaller than a checkpoint, for tables with texts."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import cut, documents, text_of
+from bibloom.llm.common import cut, documents, small_batches, text_of
 from bibloom.llm.shingles import band_keys, fingerprint, least_matches, shingle_set, signature, similar_enough
 
 WIDTH = 5
@@ -117,6 +117,8 @@ def sets_of(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_co
         found = [shingle_set(t, width) for t in texts]
         return pd.DataFrame([(*fingerprint(s), s.tobytes()) for s in found], columns=["a", "b", "shingles"])
 
+    # else an inferred null check on its fields would run it over every row before the join
+    full = full.asNondeterministic()
     few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     reps = needed.select(F.col("rep").alias("r")).distinct()
     reps = F.broadcast(reps) if few else reps.hint("shuffle_hash")
@@ -180,6 +182,11 @@ def near_components(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; kept: the row has the component's smallest id."""
+    with small_batches(docs.sparkSession):
+        return _near_components(docs, width, percent, id_col, text_col, miss)
+
+
+def _near_components(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, miss: float) -> DataFrame:
     sketched = cut(sketches(docs, width, id_col, text_col))
     classes = cut(classes_of(sketched))
     members = cut(crowded(buckets_of(classes)))

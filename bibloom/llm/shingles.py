@@ -32,8 +32,8 @@ def word_hashes(text: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     letters = raw[at].astype(np.uint64)
     letters += ((letters >= 65) & (letters <= 90)).astype(np.uint64) << np.uint64(5)
-    first = np.nonzero(np.diff(at, prepend=-2) > 1)[0]
-    sizes = np.diff(first, append=len(at))
+    first = np.concatenate([[0], np.nonzero(at[1:] - at[:-1] > 1)[0] + 1])
+    sizes = np.concatenate([first[1:], [len(at)]]) - first
     place = np.arange(len(at)) - np.repeat(first, sizes)
     powers = _powers(1 << max(10, int(sizes.max()).bit_length()))
     return mix(np.add.reduceat((letters + np.uint64(1)) * powers[place], first) + sizes.astype(np.uint64))
@@ -50,7 +50,9 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     for i in range(k):
         joined = (joined ^ words[i : i + n]) * _STEP
         joined ^= joined >> np.uint64(29)
-    return np.unique(mix(joined))
+    found = mix(joined)
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 @lru_cache(maxsize=4)
