@@ -9,9 +9,9 @@ full sets. Links make components.
 No pairs are formed inside a bucket while a link can still join it: first every member is
 compared with the bucket's least member, then, where a bucket still spans several
 components, with its greatest one; only members of different components that remain are
-paired with each other, and buckets too large for that are split by a second band first,
-in which a similar pair meets again with the same probability. A group of near copies thus
-costs a few rows a member.
+paired with each other, and in large buckets only those that share a rare shingle, by a
+prefix filter that loses no similar pair. A group of near copies thus costs a few rows a
+member, and so do variants that are not quite near enough.
 
 Chances: with 40 bands of 6 rows a pair at similarity 0.8 shares no band with probability
 5e-6, at 0.85 with 3e-9.
@@ -39,7 +39,8 @@ BANDS, ROWS = 40, 6
 SEED = 5
 BATCH = 40
 MISS = 1e-6
-FAN = 64
+FAN = 16
+SLOTS = 1 << 20
 BROADCAST_ROWS = 200_000
 
 
@@ -178,6 +179,56 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(split, "bucket", "left_semi")
 
 
+def _rare_pairs(docs: DataFrame, crowd: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (x, y) of different components among the members of large buckets; no similar pair is left out.
+
+    Sets of similarity t share one of their rarest shingles: one among the first
+    n - ceil(t n) + 1 in any common order. The order is by frequency among these members
+    (counted in SLOTS hashed slots, a bounded table), so what a text alone has comes first
+    and meets nothing. A shared shingle at places i and j of sets of n and m allows at most
+    min(n - i, m - j) shared ones from there on; pairs for which that is too few are not
+    made, nor pairs inside a shingle's most common component.
+    """
+    needed = cut(crowd.join(classes.select("a", "b", "rep"), "a").select("a", "b", "rep", "label"))
+    sets = cut(sets_of(docs, needed.select("a", "b", "rep"), width, id_col, text_col).join(needed.select("a", "b", "label"), ["a", "b"]))
+
+    def tally(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(SLOTS, np.int64)
+        for part in parts:
+            for s in part["shingles"]:
+                np.add.at(counts, np.frombuffer(s, np.uint64) % np.uint64(SLOTS), 1)
+        used = np.nonzero(counts)[0]
+        yield pd.DataFrame({"slot": used, "n": counts[used]})
+
+    counts = np.zeros(SLOTS, np.int64)
+    for row in sets.select("shingles").mapInPandas(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[row["slot"]] = row["n"]
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    @F.pandas_udf("struct<n:int,first:array<bigint>>")
+    def rarest(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        counts = shared.value
+        for part in parts:
+            rows = []
+            for raw in part:
+                s = np.frombuffer(raw, np.uint64)
+                order = np.lexsort((s, counts[s % np.uint64(SLOTS)]))
+                rows.append((len(s), s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64)))
+            yield pd.DataFrame({"n": [r[0] for r in rows], "first": pd.Series([r[1] for r in rows], dtype=object)})
+
+    rows = sets.select("a", "label", rarest("shingles").alias("r")).select("a", "label", "r.n", F.posexplode("r.first").alias("i", "shingle"))
+    crowds = sets.groupBy("label").agg(F.count(F.lit(1)).alias("held"))
+    rows = cut(rows.join(crowds, "label"))
+    top = rows.groupBy("shingle").agg(F.max(F.struct("held", "label")).alias("top"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("shingle", "top")
+    named = rows.join(top, "shingle")
+    few = named.filter(F.col("label") != F.col("top.label")).select("shingle", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("label").alias("lx"))
+    all_ = named.select("shingle", F.col("a").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("label").alias("ly"), (F.col("label") == F.col("top.label")).alias("major"))
+    most = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
+    enough = (100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))
+    met = few.join(all_, (few.shingle == all_.shingle) & (F.col("lx") != F.col("ly")) & (F.col("major") | (F.col("x") < F.col("y"))) & enough)
+    return met.select("x", "y")
+
+
 def near_components(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS
 ) -> DataFrame:
@@ -207,15 +258,12 @@ def _near_components(docs: DataFrame, width: int, percent: int, id_col: str, tex
         labels = linked_components(links)
         left = cut(_open_buckets(left.drop("label"), labels).filter("a <> low and a <> high"))
         if not left.isEmpty():
-            small = left.filter(F.col("size") <= FAN)
-            large = left.filter(F.col("size") > FAN)
-            second = buckets_of(classes.join(large.select("a").distinct(), "a", "left_semi")).withColumnRenamed("bucket", "other")
-            finer = large.join(second, "a").filter("other <> bucket").select(F.xxhash64("bucket", "other").alias("bucket"), "a", "label")
-            ways = small.select("bucket", "a", "label").unionByName(finer)
-            mine = ways.select("bucket", F.col("a").alias("x"), F.col("label").alias("lx"))
-            other = ways.select("bucket", F.col("a").alias("y"), F.col("label").alias("ly"))
-            apart = mine.join(other, "bucket").filter("x < y and lx <> ly")
-            links = cut(links.unionByName(links_of(apart.select("x", "y"))))
+            small = left.filter(F.col("size") <= FAN).select("bucket", "a", "label")
+            mine = small.select("bucket", F.col("a").alias("x"), F.col("label").alias("lx"))
+            other = small.select("bucket", F.col("a").alias("y"), F.col("label").alias("ly"))
+            apart = mine.join(other, "bucket").filter("x < y and lx <> ly").select("x", "y")
+            crowd = left.filter(F.col("size") > FAN).groupBy("a").agg(F.min("label").alias("label"))
+            links = cut(links.unionByName(links_of(apart.unionByName(_rare_pairs(docs, cut(crowd), classes, width, percent, id_col, text_col)))))
             labels = linked_components(links)
 
     keyed = classes.select("a", "b", "rep", _node("a", "b").alias("node")).join(labels, "node", "left")

@@ -49,18 +49,18 @@ def test_pipeline_stages_agree_with_their_operators(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "minhash_near_dedup", "secret_scan", "packing"]
     stage = dict(corpus_pipeline.STAGES)
     scores = {r["doc_id"]: r["score"] for r in quality.query(spark, sf_dir).collect()}
-    good = stage["quality_classifier"](spark, docs, sf_dir).localCheckpoint()
+    good = stage["quality_classifier"](spark, docs, sf_dir).cache()
     assert good.columns == names and {r["doc_id"] for r in good.collect()} == {k for k, s in scores.items() if s >= quality.THRESHOLD}
-    single = stage["exact_dedup"](spark, good, sf_dir).localCheckpoint()
+    single = stage["exact_dedup"](spark, good, sf_dir).cache()
     keep = {}
     for r in good.collect():
         keep[r["text"]] = max(keep.get(r["text"], -1), r["doc_id"])
     assert single.columns == names and {r["doc_id"] for r in single.collect()} == set(keep.values())
-    apart = stage["minhash_near_dedup"](spark, single, sf_dir).localCheckpoint()
+    apart = stage["minhash_near_dedup"](spark, single, sf_dir).cache()
     assert apart.columns == names
     decided = {r["doc_id"] for r in near_dedup.near_components(single).filter("kept").collect()}
     assert {r["doc_id"] for r in apart.collect()} == decided
-    clean = stage["secret_scan"](spark, apart, sf_dir).localCheckpoint()
+    clean = stage["secret_scan"](spark, apart, sf_dir).cache()
     assert clean.columns == names and clean.count() == apart.count()
     before = {r["doc_id"]: r["text"] for r in apart.collect()}
     for r in clean.collect():

@@ -10,7 +10,7 @@ from . import cases
 def small(spark, sf_dir):
     docs = cases.documents(spark, extra=False)
     real = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000)
-    return docs.unionByName(real).localCheckpoint()
+    return docs.unionByName(real).cache()
 
 
 @pytest.fixture(scope="module")
