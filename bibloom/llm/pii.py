@@ -4,8 +4,9 @@ Entities are the values of the base kinds: e-mail addresses, IP addresses, card
 phone numbers. The whole corpus tells how strongly a term reveals an entity: with counts
 over all documents, PMI(e; t) = log(N n(e,t) / (n(e) n(t))) against the entity's own
 information IC(e) = log(N / n(e)). A term with PMI >= ``disclosure`` * IC, seen with the
-entity in ``support`` different texts at least, discloses it; its occurrences in texts that
-hold the entity become spans of kind ``term``. ``sanitise`` replaces entities by their kind,
+entity in ``support`` different texts at least, discloses it; its occurrences in all texts,
+with the entity or without it, become spans of kind ``term``. The query judges entities of
+one text too (``support`` 1); the functions' default of 3 leaves them out. ``sanitise`` replaces entities by their kind,
 generalises disclosing numbers and names to their class, and removes other disclosing terms.
 
 Counts cover all documents, copies included; texts that hold an entity are kept once, by
@@ -13,7 +14,7 @@ their SHA-256 and content, with their number of copies, so a group of copies cos
 
 Defined cases. A null text counts as empty: no spans. Ids may be null or repeated. An empty
 table gives an empty result. Offsets are code points, ends exclusive. Terms are runs of
-characters other than ASCII non-alphanumerics, lower-cased, of ``LEAST_TERM`` or more.
+characters other than ASCII non-alphanumerics, lower-cased, of any length (``LEAST_TERM``).
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import cut, documents, sha256, span_text, text_of
+from bibloom.llm.common import cut, documents, sha256, span_text, text_of, written
 
 SUPPORT = 3
 DISCLOSURE = 0.95
-LEAST_TERM = 4
+LEAST_TERM = 1
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "struct<kind:string,start:int,end:int>"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -115,35 +116,59 @@ def entity_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return base_spans(once, "content")
 
 
-def disclosing_terms(docs: DataFrame, held: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(sha, terms): of each text that holds entities, the terms that disclose one of them."""
+def strong_terms(docs: DataFrame, held: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """(sha, x, y, term, copies) of texts that hold entities, and (x, y, term, leaks): the terms that disclose an entity of class (x, y).
+
+    Entities of the same texts have the same counts with every term, so they are judged once,
+    as a class named by two hashes of its texts; a text of many entities costs no product of
+    entities and terms. ``leaks`` says that the term also stands in texts without the entity.
+    """
     value = lambda s: F.concat_ws(":", s["kind"], F.lower(F.substring("content", s["start"] + 1, s["end"] - s["start"])))
-    named = held.select("sha", "content", "copies", F.explode(F.array_distinct(F.transform("entities", value))).alias("entity"))
-    entities = named.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    pairs = (
-        named.join(entities.select("entity"), "entity", "left_semi")
-        .select("sha", "copies", "entity", F.explode(terms_of(F.col("content"))).alias("term"))
-    )
-    together = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
+    named = held.select("sha", "copies", F.explode(F.array_distinct(F.transform("entities", value))).alias("entity"))
+    texts = F.count(F.lit(1)).alias("texts")
+    entities = named.groupBy("entity").agg(
+        F.sum("copies").alias("n_e"), texts, F.bit_xor(F.xxhash64("sha")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sha")).alias("y")
+    ).filter(F.col("texts") >= support)
+    classes = named.select("sha", "entity").join(entities.drop("texts"), "entity").groupBy("sha", "x", "y").agg(F.max("n_e").alias("n_e"))
+    pairs = held.select("sha", "content", "copies").join(classes, "sha").select("sha", "copies", "x", "y", "n_e", F.explode(terms_of(F.col("content"))).alias("term"))
+    together = pairs.groupBy("x", "y", "term").agg(F.sum("copies").alias("n_et"), F.max("n_e").alias("n_e"), texts).filter(F.col("texts") >= support)
     everywhere = docs.select(F.explode(terms_of(text_of(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.count()
-    told = together.select("entity", "term", "n_et").join(entities.select("entity", "n_e"), "entity").join(everywhere, "term")
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    strong = told.filter(pmi >= disclosure * F.log(F.lit(float(max(total, 1))) / F.col("n_e"))).select("entity", "term")
-    return pairs.select("sha", "entity", "term").join(strong, ["entity", "term"]).groupBy("sha").agg(F.collect_set("term").alias("terms"))
+    total = float(max(docs.count(), 1))
+    pmi = F.log(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    strong = together.join(everywhere, "term").filter(pmi >= disclosure * F.log(F.lit(total) / F.col("n_e")))
+    return pairs, written(strong.select("x", "y", "term", (F.col("n_t") > F.col("n_et")).alias("leaks")))
+
+
+def disclosing_terms(docs: DataFrame, held: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """(sha, terms) of every text that holds a disclosing term, and (sha, content) of those that hold no entity."""
+    pairs, strong = strong_terms(docs, held, text_col, support, disclosure)
+    own = pairs.select("sha", "x", "y", "term").join(strong.select("x", "y", "term"), ["x", "y", "term"]).select("sha", "term")
+    by_text = lambda terms: terms.groupBy("sha").agg(F.collect_set("term").alias("terms"))
+    leaking = strong.filter("leaks").select("term").distinct()
+    texts = docs.select(text_of(text_col).alias("content")).withColumn("sha", F.unhex(sha256(F.col("content"))))
+    if leaking.isEmpty():
+        return by_text(own), texts.limit(0)
+    there = texts.select("sha", F.explode(terms_of(F.col("content"))).alias("term")).join(written(leaking), "term").select("sha", "term")
+    terms = written(by_text(own.unionByName(there)))
+    without = terms.select("sha").join(held.select("sha"), "sha", "left_anti")
+    return terms, texts.join(written(without), "sha", "left_semi").groupBy("sha").agg(F.first("content").alias("content"))
 
 
 def text_spans(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(sha, content, entities, spans): all spans of each different text that holds an entity."""
+    """(sha, content, entities, spans): all spans of each different text that holds an entity or a disclosing term."""
     held = cut(entity_texts(docs, text_col))
-    terms = disclosing_terms(docs, held, text_col, support, disclosure)
-    joined = held.join(terms, "sha", "left")
+    terms, without = disclosing_terms(docs, held, text_col, support, disclosure)
+    texts = held.select("sha", "content", "entities").unionByName(without.withColumn("entities", F.array().cast(f"array<{SPAN}>")))
+    joined = texts.join(terms, "sha", "left")
     lowered = F.translate(F.col("content"), UPPER, LOWER)
-    inside = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-    # terms have word characters only, so they need no quoting
-    pattern = F.concat(F.lit(f"(?<!{inside})(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(f")(?!{inside})"))
-    joined = with_matches(joined, "__term", lowered, pattern, F.size("terms") > 0)
-    free = F.filter("__term", lambda s: ~F.exists("entities", lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"])))
+    joined = with_matches(joined, "__term", lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"), F.size("terms") > 0)
+    # terms in up to BLOCK parts by hash, so that a text of many words and many terms costs no product of both
+    parts = F.least(F.lit(BLOCK), F.floor(F.size("terms") / 8).cast("int") + 1)
+    part = lambda t: F.pmod(F.hash(t), F.col("__parts"))
+    joined = joined.withColumn("__parts", parts)
+    joined = joined.withColumn("__dealt", F.transform(F.sequence(F.lit(0), F.greatest(F.col("__parts"), F.lit(1)) - 1), lambda k: F.filter("terms", lambda t: part(t) == k)))
+    told = F.filter("__term", lambda s: F.array_contains(F.get("__dealt", part(s["value"])), s["value"]))
+    free = F.filter(told, lambda s: ~F.exists("entities", lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"])))
     added = F.transform(free, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     order = F.array(*map(F.lit, (*KINDS, "term")))
     ranked = F.array_sort(F.transform(F.concat("entities", added), lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -187,7 +212,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, di
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = find(documents(spark, sf_dir))
+    found = find(documents(spark, sf_dir), support=1)
     count = lambda kind: F.size(F.filter("entities", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
