@@ -2,7 +2,7 @@
 
 Templates of licence notices are indexed under their rarest words: the ``POSTED`` words of a
 template with the highest inverse document frequency over the whole corpus, each with its
-position. A file looks up its own highest-IDF licence words, every occurrence proposing a
+position. A file looks up every posted word that it holds, every occurrence proposing a
 (template, offset); proposals are intersected by relative position, so at least two posted
 words must stand where the template has them, and the template's mandatory key phrase must
 stand there word by word. The score is the share of the template's words in place.
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from bibloom.llm.common import documents, text_of
 
 POSTED = 4
-LOOKED_UP = 12
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -101,7 +100,7 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _aligned(templates: tuple[Template, ...], posted: list[list[tuple[str, int]]], frequencies: dict[str, int], looked_up: int) -> Column:
+def _aligned(templates: tuple[Template, ...], posted: list[list[tuple[str, int]]], frequencies: dict[str, int]) -> Column:
     """Array of (label, score) of the verified alignments, of the column ``words``."""
     postings: dict[str, list[tuple[int, int]]] = {}
     for k, entries in enumerate(posted):
@@ -123,11 +122,12 @@ def _aligned(templates: tuple[Template, ...], posted: list[list[tuple[str, int]]
         for t, p in zip(templates, posted)
     ])
     words = F.col("words")
-    own = F.slice(F.filter(lookup, lambda e: F.array_contains(words, e["word"])), 1, looked_up)
+    own = F.filter(lookup, lambda e: F.array_contains(words, e["word"]))
     places = lambda e: F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == e["word"])
     proposed = F.flatten(F.transform(own, lambda e: F.flatten(F.transform(places(e), lambda i: F.transform(e["places"], lambda p: F.struct(p["t"].alias("t"), (i - p["at"]).alias("off")))))))
     stands = lambda t, off: F.size(F.filter(F.get(info, t)["posted"], lambda p: F.get(words, off + p["at"]) == p["word"]))
-    meeting = F.filter(F.array_distinct(proposed), lambda c: stands(c["t"], c["off"]) >= 2)
+    # distinct only after the filter: it compares structs in pairs
+    meeting = F.array_distinct(F.filter(proposed, lambda c: stands(c["t"], c["off"]) >= 2))
     same = lambda found, start: F.forall(F.transform(found, lambda w, i: F.coalesce(F.get(words, start + i) == w, F.lit(False))), lambda ok: ok)
     verified = F.filter(meeting, lambda c: same(F.get(info, c["t"])["key"], c["off"] + F.get(info, c["t"])["key_at"]))
 
@@ -145,7 +145,7 @@ def _key_at(t: Template) -> int:
 
 def scan(
     docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text",
-    posted: int = POSTED, looked_up: int = LOOKED_UP,
+    posted: int = POSTED,
 ) -> DataFrame:
     """(id, n_words, phrases array of (label, starts), matches array of (label, score)) for every row."""
     texts = docs.select(F.col(id_col).alias("id"), normalised(text_of(text_col)).alias("norm"))
@@ -155,7 +155,7 @@ def scan(
     split = texts.withColumn("words", words_of(F.col("norm")))
     size = split.withColumn("candidate", F.arrays_overlap("words", licence))
     starts = F.array(*[F.struct(F.lit(label).alias("label"), _phrase_starts(phrase).alias("starts")) for phrase, label in BASE])
-    matches = F.when(F.col("candidate"), _aligned(templates, index, frequencies, looked_up)).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
+    matches = F.when(F.col("candidate"), _aligned(templates, index, frequencies)).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
     return size.select(F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), starts.alias("phrases"), matches.alias("matches"))
 
 
