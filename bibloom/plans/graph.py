@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from bibloom.sources.recipes import run, table, with_recipes
 
 YEAR = 2026
 ITERATIONS = 10
+#: PageRank to convergence, as its operator does by default; the unrolled SQL has ITERATIONS steps
+CONVERGED = (100, 1e-6)
 
 WEIGHTED = """
 weighted AS (SELECT e.source_paper_id, e.target_paper_id, e.confidence, e.seq,
@@ -41,10 +45,10 @@ def plain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted(spark, sf_dir).select(F.col("source_paper_id").alias("source"), F.col("target_paper_id").alias("target"), F.col("final_weight").alias("weight"), "confidence", "seq")
 
 
-def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f7(spark: SparkSession, sf_dir: str, limits: tuple = (ITERATIONS, None)) -> DataFrame:
     edges = plain_edges(spark, sf_dir).withColumn("graph", F.lit("all"))
     vertices = table(spark, sf_dir, "papers").select(F.lit("all").alias("graph"), F.col("paper_id").alias("id"))
-    return pr.pagerank(vertices, edges, ITERATIONS, None).select(F.col("id").alias("paper_id"), F.round("pagerank", 10).alias("pagerank"))
+    return pr.pagerank(vertices, edges, *limits).select(F.col("id").alias("paper_id"), F.round("pagerank", 10).alias("pagerank"))
 
 
 def _rank_sql(nodes: str, links: str, iterations: int) -> str:
@@ -75,16 +79,16 @@ def _local(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, inside
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, limits: tuple = (ITERATIONS, None)) -> DataFrame:
     nodes, inside = _local(spark, sf_dir)
-    ranks = pr.pagerank(nodes, inside, ITERATIONS, None).select(F.col("graph").alias("seed_id"), F.col("id").alias("paper_id"), "pagerank")
+    ranks = pr.pagerank(nodes, inside, *limits).select(F.col("graph").alias("seed_id"), F.col("id").alias("paper_id"), "pagerank")
     vertices = weights.build_vertices(table(spark, sf_dir, "papers"), table(spark, sf_dir, "resolutions"))
     vertices = vertices.join(nodes.select(F.col("graph").alias("seed_id"), F.col("id").alias("paper_id")), "paper_id")
     return ranking.foundational_scores(vertices, ranks, YEAR)
 
 
-def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounded = scored(spark, sf_dir).withColumn("score", F.round("score", 9))
+def f8(spark: SparkSession, sf_dir: str, limits: tuple = (ITERATIONS, None)) -> DataFrame:
+    rounded = scored(spark, sf_dir, limits).withColumn("score", F.round("score", 9))
     best = ranking.top_by(rounded, "seed_id", F.col("score"), "paper_id", 10)
     return best.select("seed_id", "rank", "paper_id", "title", "year", "score", F.round("influence", 9).alias("influence"), F.coalesce("n_eff", F.lit(0)).alias("n_eff"))
 
@@ -106,21 +110,21 @@ SELECT seed_id, CAST(rank AS INTEGER) AS rank, paper_id, title, year, score, rou
 VARIANTS = {"combined": "0.5::DOUBLE*influence+0.3::DOUBLE*age+0.2::DOUBLE*evidence", "influence_only": "influence", "age_only": "age", "evidence_only": "evidence", "no_influence": "0.3::DOUBLE*age+0.2::DOUBLE*evidence", "raw_pagerank": "0.5::DOUBLE*pagerank+0.3::DOUBLE*age+0.2::DOUBLE*evidence"}
 
 
-def variant_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounded = ranking.variants(scored(spark, sf_dir)).withColumn("score", F.round("score", 9)).withColumn("g", F.concat_ws("|", "seed_id", "variant"))
+def variant_ranks(spark: SparkSession, sf_dir: str, limits: tuple = (ITERATIONS, None)) -> DataFrame:
+    rounded = ranking.variants(scored(spark, sf_dir, limits)).withColumn("score", F.round("score", 9)).withColumn("g", F.concat_ws("|", "seed_id", "variant"))
     return ranking.top_by(rounded, "g", F.col("score"), "paper_id", 1 << 30)
 
 
-def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variant_ranks(spark, sf_dir).select("seed_id", "variant", "paper_id", "rank", "score")
+def f9(spark: SparkSession, sf_dir: str, limits: tuple = (ITERATIONS, None)) -> DataFrame:
+    return variant_ranks(spark, sf_dir, limits).select("seed_id", "variant", "paper_id", "rank", "score")
 
 
 _RANKED = "ranked AS (SELECT seed_id, variant, paper_id, score, CAST(row_number() OVER (PARTITION BY seed_id, variant ORDER BY score DESC, paper_id) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(f"SELECT seed_id, '{k}' AS variant, paper_id, round({v}, 9) AS score FROM scored" for k, v in VARIANTS.items()) + ") u)"
 F9_SQL = with_recipes(f"{ALL_SCORES}, {_RANKED} SELECT * FROM ranked", "edges", "resolutions", "papers", "seeds")
 
 
-def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = variant_ranks(spark, sf_dir).select("seed_id", "variant", "paper_id", "rank")
+def f10(spark: SparkSession, sf_dir: str, limits: tuple = (ITERATIONS, None)) -> DataFrame:
+    ranked = variant_ranks(spark, sf_dir, limits).select("seed_id", "variant", "paper_id", "rank")
     base = ranked.filter("variant = 'combined'").select("seed_id", "paper_id", F.col("rank").alias("base_rank"))
     found = ranking.rank_correlation(ranked.filter("variant <> 'combined'").join(base, ["seed_id", "paper_id"]), ["seed_id", "variant"], "base_rank", "rank")
     return found.select("seed_id", "variant", F.round("rho", 9).alias("rho"), "n")
@@ -266,6 +270,7 @@ def queries() -> dict:
         "f1_traverse": f1, "f4_seed_component": f4, "f5_vertices": f5, "f6_weight_edges": f6, "f7_pagerank": f7, "f8_foundational": f8,
         "f9_variants": f9, "f10_rank_correlation": f10, "f11_simple_paths": f11, "f12_rank_paths": f12, "d1_degrees": d1,
         "f11_simple_paths_whole": f11_whole, "f12_rank_paths_whole": f12_whole,
+        **{f"{k}_whole": functools.partial(f, limits=CONVERGED) for k, f in (("f7_pagerank", f7), ("f8_foundational", f8), ("f9_variants", f9), ("f10_rank_correlation", f10))},
         "d3_graph_health": d3,
         "c10_duplicate_works": c10, "c11_commit_edges": c11,
     }
