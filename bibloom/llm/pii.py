@@ -166,8 +166,9 @@ def text_spans(docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
     parts = F.least(F.lit(BLOCK), F.floor(F.size("terms") / 8).cast("int") + 1)
     part = lambda t: F.pmod(F.hash(t), F.col("__parts"))
     joined = joined.withColumn("__parts", parts)
-    joined = joined.withColumn("__dealt", F.transform(F.sequence(F.lit(0), F.greatest(F.col("__parts"), F.lit(1)) - 1), lambda k: F.filter("terms", lambda t: part(t) == k)))
-    told = F.filter("__term", lambda s: F.array_contains(F.get("__dealt", part(s["value"])), s["value"]))
+    dealt = F.transform(F.sequence(F.lit(0), F.greatest(F.col("__parts"), F.lit(1)) - 1), lambda k: F.filter("terms", lambda t: part(t) == k))
+    # bound by a lambda of one element: the planner would put the parts' expression in place, once a word
+    told = F.get(F.transform(F.array(dealt), lambda d: F.filter("__term", lambda s: F.array_contains(F.get(d, part(s["value"])), s["value"]))), 0)
     free = F.filter(told, lambda s: ~F.exists("entities", lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"])))
     added = F.transform(free, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     order = F.array(*map(F.lit, (*KINDS, "term")))
