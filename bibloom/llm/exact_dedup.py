@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import cut, sha256, text_of
+from bibloom.llm.common import column, sha256, text_of, written
 
 SALTS = 16
 
@@ -25,7 +25,7 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
     """One row per distinct text: digest, content, keep_id (largest id), group_size."""
     text = text_of(text_col)
     tagged = docs.select(
-        digest(text).alias("digest"), text.alias("content"), F.col(id_col).alias("id"), (F.spark_partition_id() % salts).alias("salt")
+        digest(text).alias("digest"), text.alias("content"), column(id_col).alias("id"), (F.spark_partition_id() % salts).alias("salt")
     )
     salted = tagged.groupBy("digest", "salt", "content").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n"))
     return (
@@ -61,8 +61,9 @@ def exact_groups(
     ``digest`` maps a text column to a key. A key that two different texts share is told
     apart by the texts themselves, so a weak digest costs time, never a wrong group.
     """
-    decided = cut(_decisions(docs, id_col, text_col, salts, digest))
-    rows = docs.select(F.col(id_col).alias("id"), digest(text_of(text_col)).alias("digest"), text_of(text_col).alias("content"))
+    # a table, so that the join below can split a hot digest
+    decided = written(_decisions(docs, id_col, text_col, salts, digest))
+    rows = docs.select(column(id_col).alias("id"), digest(text_of(text_col)).alias("digest"), text_of(text_col).alias("content"))
     shared = decided.filter("texts > 1")
     if shared.isEmpty():
         joined = rows.drop("content").join(decided.select("digest", "keep_id", "group_size"), "digest")
@@ -81,15 +82,21 @@ def exact_groups(
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows that stay, with their own columns: of equal texts the row with the largest id."""
-    decided = cut(winners(docs, id_col, text_col, salts).select("digest", "keep_id"))
-    names = docs.columns
-    rows = docs.withColumns({"__digest": sha256(text_of(text_col)), "__id": F.col(id_col)})
-    keys = decided.select(F.col("digest").alias("__d"), F.col("keep_id").alias("__k"))
-    stay = rows.join(keys, (F.col("__digest") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__k")), "left_semi")
-    return stay.dropDuplicates(["__digest", "__id"]).select(*names)
-
+    """The rows that stay, with their own columns: of equal texts the row with the largest id.
 
+    The winner's other columns travel with its text, so the texts are dealt out twice (by
+    salted digest, by digest) and never joined back.
+    """
+    text = text_of(text_col)
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(column(text_col).isNull().alias("none"), F.struct(*[column(c) for c in others]).alias("rest") if others else F.lit(1).alias("rest"))
+    rank = F.struct(column(id_col).isNotNull().alias("some"), column(id_col).alias("id"))
+    tagged = docs.select(sha256(text).alias("digest"), text.alias("content"), rank.alias("rank"), row.alias("row"), (F.spark_partition_id() % salts).alias("salt"))
+    best = [F.max_by("row", "rank").alias("row"), F.max("rank").alias("rank")]
+    salted = tagged.groupBy("digest", "salt", "content").agg(*best)
+    found = salted.repartition("digest").groupBy("digest", "content").agg(*best)
+    whole = F.when(~F.col("row.none"), F.col("content"))
+    return found.select(*[whole.alias(c) if c == text_col else F.col("row.rest").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = """
