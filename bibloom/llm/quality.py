@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import documents, labels, text_of
+from bibloom.llm.common import column, documents, labels, text_of
 
 MAX_LABELLED = 8192
 DIMENSIONS = 64
@@ -42,6 +42,7 @@ WORDS, SHAPES, STEPS, LENGTHS = 512, 256, 11, 24
 BLOCKS = ((WORDS, 0.2), (SHAPES, 1.0), (STEPS, 1.0), (STEPS, 1.0), (STEPS, 1.0), (LENGTHS, 0.3))
 TERMS = sum(n for n, _ in BLOCKS)
 CACHE = 300_000
+SCORE = "__score"
 
 _KNOWN: dict[str, tuple[int, int]] = {}
 
@@ -123,7 +124,7 @@ def inverse_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, marks: DataFrame, label_col: str, id_col: str, text_col: str, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Term counts and labels of at most ``most`` labelled rows outside the held-out fold."""
-    usable = marks.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y")).filter("k is not null and y is not null")
+    usable = marks.select(column(id_col).alias("k"), column(label_col).cast("double").alias("y")).filter("k is not null and y is not null")
     usable = usable.filter(fold("k") != 0).groupBy("k").agg(F.avg("y").alias("y"))
     chosen = usable.orderBy(F.xxhash64("k"), "k").limit(most)
 
@@ -132,7 +133,7 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label_col: str, id_col: s
         return pd.Series([term_counts(t).tobytes() for t in texts], dtype=object)
 
     # the chosen rows are at most ``most``; copies of an id count once
-    held = docs.select(F.col(id_col).alias("k"), text_of(text_col).alias("t")).join(F.broadcast(chosen), "k")
+    held = docs.select(column(id_col).alias("k"), text_of(text_col).alias("t")).join(F.broadcast(chosen), "k")
     rows = held.groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "y", counted("t").alias("v")).orderBy("k").collect()
     x = np.array([np.frombuffer(r["v"], np.float32) for r in rows]).reshape(-1, TERMS)
     return x, np.array([r["y"] for r in rows], np.float32)
@@ -160,9 +161,9 @@ def vote(vectors: np.ndarray, labelled: np.ndarray, y: np.ndarray, neighbours: i
 def score(
     docs: DataFrame, marks: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
     most: int = MAX_LABELLED, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS, sharpness: float = SHARPNESS,
-    keep: tuple[str, ...] = (),
+    keep: dict[str, str] | None = None,
 ) -> DataFrame:
-    """(id, score) of every row, and the columns named in ``keep``: how likely its label is 1."""
+    """(id, score) of every row: how likely its label is 1. ``keep`` maps names of the result to other columns of docs instead of the id."""
     idf = inverse_frequencies(docs, text_col)
     x, y = labelled_sample(docs, marks, label_col, id_col, text_col, most)
     rows = weighted(x, idf)
@@ -179,13 +180,15 @@ def score(
                 out[at : at + BLOCK] = vote(unit(weighted(counts, idf) @ axes), labelled, y, neighbours, sharpness)
             yield pd.Series(np.round(np.clip(out, 0, 1), 6))
 
-    return docs.select(*dict.fromkeys((id_col, *keep)), scored(text_of(text_col)).alias("__score"))
+    return docs.select(*[column(c).alias(a) for a, c in (keep or {id_col: id_col}).items()], scored(text_of(text_col)).alias(SCORE))
 
 
 def keep_good(docs: DataFrame, marks: DataFrame, threshold: float = THRESHOLD, **settings) -> DataFrame:
     """The rows whose score reaches the threshold, with their own columns."""
     names = docs.columns
-    return score(docs, marks, keep=tuple(names), **settings).filter(F.col("__score") >= threshold).select(*names)
+    # numbered names cannot clash with the score's
+    found = score(docs, marks, keep={f"c{i}": c for i, c in enumerate(names)}, **settings).filter(F.col(SCORE) >= threshold)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -193,6 +196,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"),
-        F.col("__score").alias("score"),
-        F.when(F.col("__score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"),
+        F.col(SCORE).alias("score"),
+        F.when(F.col(SCORE) >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"),
     )

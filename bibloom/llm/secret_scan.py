@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import cut, documents, sha256, span_text, text_of
+from bibloom.llm.common import column, documents, sha256, span_text, text_of, whole_row, written
 
 SPAN = "struct<kind:string,start:int,end:int>"
+#: Blobs with findings, a few spans each, that a join may broadcast
+BROADCAST_ROWS = 100_000
 LEDGER = f"blob binary, rules array<string>, spans array<{SPAN}>"
 
 
@@ -81,7 +83,7 @@ def empty_ledger(spark) -> DataFrame:
 
 def blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = text_of(text_col)
-    return docs.select(F.col(id_col).alias("path"), F.unhex(sha256(text)).alias("blob"), text.alias("content"))
+    return docs.select(column(id_col).alias("path"), F.unhex(sha256(text)).alias("blob"), text.alias("content"))
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
@@ -129,24 +131,27 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     give spans_of_paths a ledger without it if the rule's earlier findings are void.
     """
     versions = blobs(docs, id_col, text_col)
-    added = cut(scan_unseen(versions, ledger, rules))
+    # a table, so that the join with all paths can split a hot blob
+    added = written(scan_unseen(versions, ledger, rules))
     current = added if ledger is None else ledger.unionByName(added)
     return spans_of_paths(versions, current, rules).withColumnRenamed("path", id_col), added
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every found span replaced by [SECRET]; all rows and columns stay."""
-    found = scan(docs, None, RULES, id_col, text_col)[1].filter(F.size("spans") > 0)
-    found = found.select(F.col("blob").alias("__b"), "spans").withColumnRenamed("spans", "__spans")
-    names = docs.columns
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([mask(t, s) if s is not None and len(s) else t for t, s in zip(texts, spans)], dtype=object)
+        return pd.Series([mask(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    keyed = docs.withColumn("__blob", F.unhex(sha256(text_of(text_col))))
-    joined = keyed.join(found, F.col("__blob") == F.col("__b"), "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked(text_col, "__spans"))).select(*names)
+    found = scan(docs, None, RULES, id_col, text_col)[1].filter(F.size("spans") > 0)
+    found = found.select(F.col("blob").alias("b"), "spans")
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    keyed = docs.select(whole_row(docs).alias("row"), F.unhex(sha256(text_of(text_col))).alias("blob"))
+    joined = keyed.join(F.broadcast(found) if few else found, F.col("blob") == F.col("b"), "left")
+    text = F.col("row").getField(text_col)
+    done = F.when(F.col("spans").isNull(), text).otherwise(masked(F.when(F.col("spans").isNotNull(), text).otherwise(""), F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))))
+    return joined.select(*[done.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def mask(text: str, spans, word: str = "[SECRET]") -> str:
