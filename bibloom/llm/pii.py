@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import cut, documents, sha256, span_text, text_of, written
+from bibloom.llm.common import column, documents, sha256, span_text, text_of, tidy, whole_row, written
 
 SUPPORT = 3
 DISCLOSURE = 0.95
@@ -80,9 +80,9 @@ def base_spans(df: DataFrame, text: str, name: str = "entities") -> DataFrame:
     t = F.col(text)
     clean = F.translate(t, "\u0001", "\u0002")
     df = df.withColumn("__host", F.when(t.contains("@"), F.regexp_replace(clean, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", "\u0001")))
-    df = df.withColumn("__number", F.when(t.rlike("[0-9]"), F.regexp_replace(clean, r"(?<=[0-9])[\x20-](?=[0-9])", "\u0001")))
+    df = df.withColumn("__number", F.when(t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), F.regexp_replace(clean, r"(?<=[0-9])[\x20-](?=[0-9])", "\u0001")))
     df = with_matches(df, "__email", F.col("__host"), F.lit(r"(?:\G|(?<![A-Za-z0-9._%+\x01-]))[A-Za-z0-9._%+\x01-]++@[A-Za-z0-9-]++\x01[A-Za-z0-9\x01-]++"), F.col("__host").isNotNull())
-    df = with_matches(df, "__ip", t, F.lit(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), F.col("__number").isNotNull() & t.rlike(r"[0-9]\.[0-9]"))
+    df = with_matches(df, "__ip", t, F.lit(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"))
     df = with_matches(df, "__card", F.col("__number"), F.lit(r"[0-9][0-9\x01]*+"), F.col("__number").rlike(r"[0-9][0-9\x01]{11}"))
     df = with_matches(df, "__phone", t, F.lit(r"\+[0-9][\x20().0-9-]+[0-9]"), t.contains("+"))
     part_ok = lambda p: p.cast("double") <= 255
@@ -104,16 +104,24 @@ def base_spans(df: DataFrame, text: str, name: str = "entities") -> DataFrame:
 
 
 def terms_of(text: Column) -> Column:
-    words = F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), SEPARATORS, " "), " ")
+    words = F.split(F.translate(text, UPPER, LOWER), SEPARATORS)
     return F.array_distinct(F.filter(words, lambda w: F.length(w) >= LEAST_TERM))
 
 
+def may_hold(text: Column) -> Column:
+    """Cheap marks without which a text has no entity; most texts go by them."""
+    email = text.contains("@") & text.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]")
+    phone = text.contains("+") & text.rlike(r"\+[0-9][\x20().0-9-]")
+    return email | phone | text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]") | text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")
+
+
 def entity_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(sha, content, entities, copies): each different text that holds an entity, once."""
-    texts = docs.select(text_of(text_col).alias("content"))
-    held = base_spans(texts, "content").filter(F.size("entities") > 0)
-    once = held.withColumn("sha", F.unhex(sha256(F.col("content")))).groupBy("sha", "content").agg(F.count(F.lit(1)).alias("copies"))
-    return base_spans(once, "content")
+    texts = docs.select(text_of(text_col).alias("content")).filter(may_hold(F.col("content")))
+    held = base_spans(texts, "content").withColumn("sha", F.unhex(sha256(F.col("content"))))
+    once = held.groupBy("sha", "content").agg(F.first("entities").alias("entities"), F.count(F.lit(1)).alias("copies"))
+    # after the grouping: a filter pushed below base_spans would work its columns out several times
+    return once.filter(F.size("entities") > 0)
 
 
 def strong_terms(docs: DataFrame, held: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
@@ -156,7 +164,7 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, text_col: str = "text", s
 
 def text_spans(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(sha, content, entities, spans): all spans of each different text that holds an entity or a disclosing term."""
-    held = cut(entity_texts(docs, text_col))
+    held = written(entity_texts(docs, text_col))
     terms, without = disclosing_terms(docs, held, text_col, support, disclosure)
     texts = held.select("sha", "content", "entities").unionByName(without.withColumn("entities", F.array().cast(f"array<{SPAN}>")))
     joined = texts.join(terms, "sha", "left")
@@ -175,8 +183,10 @@ def text_spans(docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(id, entities, spans) of every row."""
-    spans = text_spans(docs, text_col, support, disclosure).select("sha", "entities", "spans")
-    rows = docs.select(F.col(id_col), F.unhex(sha256(text_of(text_col))).alias("sha"))
+    with tidy(docs.sparkSession):
+        # a table, so that the join with all rows can split a hot text
+        spans = written(text_spans(docs, text_col, support, disclosure).select("sha", "entities", "spans"))
+    rows = docs.select(column(id_col), F.unhex(sha256(text_of(text_col))).alias("sha"))
     none = F.array().cast(f"array<{SPAN}>")
     return rows.join(spans, "sha", "left").select(id_col, F.coalesce("entities", none).alias("entities"), F.coalesce("spans", none).alias("spans"))
 
@@ -202,10 +212,11 @@ def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, di
         return F.struct(F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     folded = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("content"), acc["at"] + 1, F.length("content"))))
-    texts = found.select(F.col("sha").alias("__s"), folded.alias("__out"))
-    keyed = docs.withColumn("__sha", F.unhex(sha256(text_of(text_col))))
-    joined = keyed.join(texts, F.col("__sha") == F.col("__s"), "left")
-    return joined.withColumn(text_col, F.coalesce("__out", F.col(text_col))).select(*docs.columns)
+    texts = found.select(F.col("sha").alias("s"), folded.alias("out"))
+    keyed = docs.select(whole_row(docs).alias("row"), F.unhex(sha256(text_of(text_col))).alias("sha"))
+    joined = keyed.join(texts, F.col("sha") == F.col("s"), "left")
+    own = lambda c: F.col("row").getField(c)
+    return joined.select(*[F.coalesce("out", own(c)).alias(c) if c == text_col else own(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
