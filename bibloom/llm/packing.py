@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import documents, text_of
+from bibloom.llm.common import column, documents, text_of, written
 
 MAX_TOKENS = 2048
 BUCKETS = 8
@@ -38,7 +38,7 @@ def count_tokens(text: Column) -> Column:
 
 def sequences(docs: DataFrame, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, seq, first_token, n_tokens): the pieces of each document, in order."""
-    counted = docs.select(F.col(id_col).alias("id"), count_tokens(text_of(text_col)).alias("total"))
+    counted = docs.select(column(id_col).alias("id"), count_tokens(text_of(text_col)).alias("total"))
     last = F.greatest(F.ceil(F.col("total") / max_tokens) - 1, F.lit(0))
     return counted.select("id", "total", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("seq")).select(
         "id",
@@ -99,7 +99,8 @@ def pack(
     """
     if budget < max_tokens:
         raise ValueError("the budget must hold one sequence of max_tokens")
-    pieces = sequences(docs, max_tokens, id_col, text_col)
+    # a narrow table: the texts are read once, for three passes over their lengths
+    pieces = written(sequences(docs, max_tokens, id_col, text_col))
     counts = length_histogram(pieces, max_tokens)
     bounds = optimal_boundaries(counts, buckets) or [max_tokens]
     sums = np.cumsum(counts)
