@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bibloom.llm.common import cut, documents, text_of
+from bibloom.llm.common import documents, text_of, written
 
 BUCKET_BYTES = 32 << 20
 MIN_BUCKETS = 256
 SHARDS = 24
+BLOCK = 1024
+BUCKETS_A_TASK = 8
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -57,9 +59,12 @@ def shuffle_records(
     records = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("content")).withColumns(
         {"order_key": F.xxhash64(F.lit(seed), "id", "content"), "bucket": F.pmod(F.xxhash64("content", F.lit(seed + 1), "id"), F.lit(n)).cast("int")}
     )
-    counts = records.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut(counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    counts = records.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("bucket") / BLOCK))
+    # sums over blocks of buckets, then inside each block: no window holds all buckets
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).select("block", ahead(Window.orderBy("block")).alias("ahead"))
+    within = counts.select("bucket", "block", ahead(Window.partitionBy("block").orderBy("bucket")).alias("inside"))
+    offsets = written(within.join(blocks, "block").select("bucket", (F.col("ahead") + F.col("inside")).alias("first")))
 
     def shuffled(rows: pa.Table, first: pa.Table) -> pa.Table:
         # a fixed order first: a task that is run again sees its rows in another order
@@ -72,7 +77,7 @@ def shuffle_records(
 
     schema = T.StructType([docs.schema[id_col], docs.schema[text_col], T.StructField("position", T.LongType())])
     schema = T.StructType([T.StructField(name, f.dataType) for name, f in zip(("id", "content", "position"), schema)])
-    dealt = records.groupBy("bucket").cogroup(offsets.groupBy("bucket")).applyInArrow(shuffled, schema)
+    dealt = records.repartition(math.ceil(n / BUCKETS_A_TASK), "bucket").groupBy("bucket").cogroup(offsets.groupBy("bucket")).applyInArrow(shuffled, schema)
     return dealt.select(F.col("id").alias(id_col), F.col("content").alias(text_col), "position")
 
 
