@@ -14,6 +14,15 @@ DOI = r"10\.\d{4,9}/\S+"
 TITLE_KEY_LEAST, TITLE_KEY_MOST = 25, 80
 
 
+# White space of any script, as a character class
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends; a null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+
+
 def strip_view(doi: Column) -> Column:
     """Drops view segments from the end, never from a DOI's first two parts."""
     return F.regexp_replace(doi, rf"(?i)^([^/]*/[^/]*(?:/.*?)??)(?:/(?:{'|'.join(VIEW_SEGMENTS)}))+$", "$1")
@@ -25,7 +34,7 @@ def _after(text: Column, mark: str) -> Column:
 
 def canonical(raw: Column) -> Column:
     """One spelling of a DOI, PMID, PMCID or OpenAlex id; anything else as it is, nulls and blanks empty."""
-    t = F.trim(F.coalesce(raw, F.lit("")))
+    t = stripped(raw)
     pubmed, pmc = "pubmed.ncbi.nlm.nih.gov/", "/pmc/articles/"
     bare = lambda c: F.regexp_replace(c, "^/+|/+$", "")
     t = F.when(F.contains(t, F.lit(pubmed)), bare(_after(t, pubmed))).when(F.contains(t, F.lit(pmc)), bare(_after(t, pmc))).otherwise(t)
@@ -33,9 +42,9 @@ def canonical(raw: Column) -> Column:
     return (
         F.when(F.contains(t, F.lit("doi.org/")), F.lower(_after(t, "doi.org/")))
         .when(t.startswith("10."), low)
-        .when(low.startswith("doi:"), F.substring(low, 5, 2000))
+        .when(low.startswith("doi:"), F.substr(low, F.lit(5)))
         .when(up.startswith("PMC"), up)
-        .when(low.startswith("pmid:"), F.trim(F.substring(low, 6, 2000)))
+        .when(low.startswith("pmid:"), stripped(F.substr(low, F.lit(6))))
         .when(t.rlike("^[0-9]{1,9}$"), t)
         .when(t.rlike("^[Ww][0-9]+$"), up)
         .when(F.contains(t, F.lit("/")) & t.rlike("^[0-9]"), low)
@@ -45,15 +54,15 @@ def canonical(raw: Column) -> Column:
 
 def query_type(value: Column) -> Column:
     """url, pmcid, doi, pmid or title, by shape; the order matters."""
-    t = F.trim(F.coalesce(value, F.lit("")))
+    t = stripped(value)
     low, up = F.lower(t), F.upper(t)
-    doi = F.when(low.startswith("doi:") | low.startswith("doi "), F.trim(F.substring(t, 5, 4000))).otherwise(t)
+    doi = F.when(low.startswith("doi:") | low.startswith("doi "), stripped(F.substr(t, F.lit(5)))).otherwise(t)
     return (
         F.when(t == "", "title")
         .when(low.rlike(r"^(http://|https://|www\.)"), "url")
-        .when(F.trim(F.replace(up, F.lit("PMCID:"), F.lit(""))).rlike(r"^PMC\d+$"), "pmcid")
+        .when(stripped(F.replace(up, F.lit("PMCID:"), F.lit(""))).rlike(r"^PMC\d+$"), "pmcid")
         .when(doi.rlike(rf"^{DOI}$"), "doi")
-        .when(F.trim(F.replace(up, F.lit("PMID:"), F.lit(""))).rlike(r"^\d{1,9}$"), "pmid")
+        .when(stripped(F.replace(up, F.lit("PMID:"), F.lit(""))).rlike(r"^\d{1,9}$"), "pmid")
         .when(up.rlike(r"^W\d+$"), "doi")
         .otherwise("title")
     )

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where that is unset in a local session."""
     session = df.sparkSession
     context = session.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = session.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     # Spark 4.1 fails to carry a union's constraints over to its checkpoint
     name = "spark.sql.constraintPropagation.enabled"
     before = session.conf.get(name)

@@ -37,18 +37,23 @@ def exact_match_rate(pairs: DataFrame, group: str, left: str, right: str) -> Dat
 def mcnemar(b: Column, c: Column) -> Column:
     """Two-sided exact p of discordant counts, at most 1; 1 without any.
 
-    The binomial terms run from C(n, 0) to C(n, min); each comes from the one before.
+    The binomial terms run from C(n, 0) to C(n, min); the logarithm of each, over 2 ^ n,
+    comes from the one before, so that counts of any size neither overflow nor vanish.
     """
     n, least = b + c, F.least(b, c)
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
-    step = lambda a, k: F.struct((a["term"] * (n - k) / (k + 1)).alias("term"), (a["sum"] + a["term"]).alias("sum"))
+    start = F.struct((-F.log(F.lit(2.0)) * n).alias("log"), F.lit(0.0).alias("sum"))
+    step = lambda a, k: F.struct((a["log"] + F.log((n - k) / (k + 1))).alias("log"), (a["sum"] + F.exp(a["log"])).alias("sum"))
     total = F.aggregate(F.sequence(F.lit(0).cast("long"), least.cast("long")), start, step, lambda a: a["sum"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total / F.pow(F.lit(2.0), n)))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
+
+
+def title_words(title: Column) -> Column:
+    """Distinct lower-case words of letters and digits."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9 ]", " "), " +"), lambda w: w != ""))
 
 
 def title_similarity(left: Column, right: Column) -> Column:
     """Jaccard of lower-case words; two empty titles are alike, an empty and another are not."""
-    words = lambda t: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), "[^a-z0-9 ]", " "), " +"), lambda w: w != ""))
-    a, b = words(left), words(right)
+    a, b = title_words(left), title_words(right)
     both = F.size(F.array_union(a, b))
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)

@@ -163,7 +163,7 @@ def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 A17_SQL = with_recipes("""SELECT p.paper_id, concat_ws(chr(10), 'TY  - JOUR', array_to_string(list_transform(range(1, seq % 7 + 2), lambda i: concat('AU  - ', journal, ', Given', i, ' Van')), chr(10)), 'TI  - ' || title, 'JO  - ' || journal, 'PY  - ' || year,
  CASE WHEN seq % 2 = 0 THEN concat('DO  - 10.1/a-', seq) END, CASE WHEN seq % 2 = 0 THEN concat('UR  - https://doi.org/10.1/a-', seq) END,
- CASE WHEN r.confidence < 0.5 THEN concat('N1  - Linked to the seed paper with low confidence (', printf('%.2f', r.confidence), '). Verify this citation before relying on it.') END, 'ER  - ') AS block
+ CASE WHEN r.confidence < 0.5 THEN concat('N1  - Weak link to the seed (confidence ', printf('%.2f', r.confidence), '): read it before citing.') END, 'ER  - ') AS block
 FROM papers p LEFT JOIN resolutions r ON r.paper_id = p.paper_id""", "papers", "resolutions")
 
 

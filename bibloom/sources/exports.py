@@ -84,7 +84,7 @@ def ris(papers: DataFrame) -> DataFrame:
     """(paper_id, block) of papers with authors, title, journal, year, doi and link confidence."""
     tag = lambda name, value: F.concat(F.lit(f"{name}  - "), value.cast("string"))
     people = F.array_join(F.transform(F.filter(F.transform("authors", split_author), lambda a: a.isNotNull()), lambda a: tag("AU", a)), "\n")
-    note = F.when(F.col("confidence") < LOW_CONFIDENCE, F.format_string("N1  - Linked to the seed paper with low confidence (%.2f). Verify this citation before relying on it.", F.col("confidence")))
+    note = F.when(F.col("confidence") < LOW_CONFIDENCE, F.format_string("N1  - Weak link to the seed (confidence %.2f): read it before citing.", F.col("confidence")))
     block = F.concat_ws("\n", F.lit("TY  - JOUR"), F.nullif(people, F.lit("")), tag("TI", F.col("title")), tag("JO", F.col("journal")), tag("PY", F.col("year")), tag("DO", F.col("doi")), F.concat(F.lit("UR  - https://doi.org/"), F.col("doi")), note, F.lit("ER  - "))
     return papers.select("paper_id", block.alias("block"))
 

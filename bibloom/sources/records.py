@@ -122,7 +122,8 @@ def merge_providers(records: DataFrame) -> DataFrame:
     provider that has one, in the order crossref, openalex, europe_pmc.
     """
     fields = ("title", "year", "authors", "journal", "abstract", "doi", "pmid", "pmcid", "openalex_id", "research_domain")
-    of = lambda p: F.first(F.when(F.col("provider") == p, F.struct(*fields)), ignorenulls=True)
+    order = F.struct(*(["seq"] if "seq" in records.columns else []), *fields)
+    of = lambda p: F.min_by(F.struct(*fields), F.when(F.col("provider") == p, order))
     wide = records.groupBy("query_id").agg(of("crossref").alias("c"), of("openalex").alias("o"), of("europe_pmc").alias("e"), F.count_distinct("provider").alias("n"))
     any_id = lambda f: F.coalesce(*[filled(F.col(f"{p}.{f}")) for p in "coe"])
     return wide.select(
