@@ -160,13 +160,18 @@ def f11(spark: SparkSession, sf_dir: str, hops: int = 3) -> DataFrame:
 F11_SQL = F12_SQL[: F12_SQL.index("SELECT seed_id, rank, path")].replace("array_to_string(path, '>') AS path", "path") + "SELECT seed_id, path_length, count(*) AS n, count(DISTINCT path[-1]) AS ends FROM every GROUP BY seed_id, path_length"
 
 
+# the same with paths of four edges
+_P4 = "p4 AS (SELECT seed_id, list_append(path, target_paper_id) AS path, sw + final_weight AS sw, pc * confidence AS pc, sc + confidence AS sc FROM p3 JOIN final ON source_paper_id = path[-1] WHERE NOT list_contains(path, target_paper_id)),\nevery AS ("
+F11_WHOLE_SQL, F12_WHOLE_SQL = (q.replace("every AS (", _P4, 1).replace("SELECT * FROM p3)", "SELECT * FROM p3 UNION ALL SELECT * FROM p4)", 1) for q in (F11_SQL, F12_SQL))
+
+
 def f11_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of 1 to 4 edges; f11's SQL stops at 3."""
+    """Paths of 1 to 4 edges."""
     return f11(spark, sf_dir, 4)
 
 
 def f12_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of the paths of 1 to 4 edges; f12's SQL stops at 3."""
+    """The best of the paths of 1 to 4 edges."""
     return f12(spark, sf_dir, 4)
 
 
@@ -285,6 +290,7 @@ def oracle_sql() -> dict:
         "f6_weight_edges": with_recipes(f"WITH {WEIGHTED} SELECT source_paper_id, target_paper_id, round(n_score, 9) AS n_score, round(base_weight, 9) AS base_weight, round(final_weight, 9) AS final_weight FROM final", "edges", "resolutions"),
         "f7_pagerank": with_recipes(f"WITH {WEIGHTED}, {rank_all} SELECT id AS paper_id, round(pr, 10) AS pagerank FROM r{ITERATIONS}", "edges", "resolutions", "papers"),
         "f8_foundational": F8_SQL, "f9_variants": F9_SQL, "f10_rank_correlation": F10_SQL, "f11_simple_paths": F11_SQL, "f12_rank_paths": F12_SQL,
+        "f11_simple_paths_whole": F11_WHOLE_SQL, "f12_rank_paths_whole": F12_WHOLE_SQL,
         "d1_degrees": with_recipes("SELECT p.paper_id, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree FROM papers p LEFT JOIN (SELECT source_paper_id AS a, count(*) AS o FROM edges GROUP BY 1) ON a = p.paper_id LEFT JOIN (SELECT target_paper_id AS b, count(*) AS i FROM edges GROUP BY 1) ON b = p.paper_id", "papers", "edges"),
         "d3_graph_health": D3_SQL, "c10_duplicate_works": C10_SQL, "c11_commit_edges": C11_SQL,
     }
