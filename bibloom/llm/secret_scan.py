@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import column, documents, sha256, span_text, text_of, whole_row, written
+from bibloom.llm.common import column, documents, sha256, span_text, text_of, tidy, whole_row, written
 
 SPAN = "struct<kind:string,start:int,end:int>"
 #: Blobs with findings, a few spans each, that a join may broadcast
@@ -131,8 +131,9 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     give spans_of_paths a ledger without it if the rule's earlier findings are void.
     """
     versions = blobs(docs, id_col, text_col)
-    # a table, so that the join with all paths can split a hot blob
-    added = written(scan_unseen(versions, ledger, rules))
+    with tidy(docs.sparkSession):
+        # a table, so that the join with all paths can split a hot blob
+        added = written(scan_unseen(versions, ledger, rules))
     current = added if ledger is None else ledger.unionByName(added)
     return spans_of_paths(versions, current, rules).withColumnRenamed("path", id_col), added
 
@@ -165,7 +166,10 @@ def mask(text: str, spans, word: str = "[SECRET]") -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = scan(documents(spark, sf_dir))[0]
+    """Two scans with a ledger between: the base rules, then all rules, of which only the added ones are unseen."""
+    docs = documents(spark, sf_dir)
+    ledger = scan(docs, None, BASE)[1]
+    found = scan(docs, ledger, RULES)[0]
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
