@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where that is unset in a local session."""
-    session = df.sparkSession
+def shared_folder(session: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset in a local session."""
     context = session.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = session.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder; lineage ends there."""
+    session = df.sparkSession
+    shared_folder(session)
     # Spark 4.1 fails to carry a union's constraints over to its checkpoint
     name = "spark.sql.constraintPropagation.enabled"
     before = session.conf.get(name)

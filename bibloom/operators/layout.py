@@ -84,9 +84,10 @@ def reading_order(lines: DataFrame, key: list[str]) -> DataFrame:
     return placed.select(*key, rows.alias("lines"))
 
 
-def side_by_side(counts: DataFrame) -> DataFrame:
-    """Adds row to counts (fig_id, seq, cy, h): from the top, a count beside its row's first one within half of the taller."""
-    listed = counts.groupBy("fig_id").agg(F.array_sort(F.collect_list(F.struct("cy", "seq", "h"))).alias("all"))
+def side_by_side(counts: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Adds row to counts (key, seq, cy, h): from the top, a count beside its row's first one within half of the taller. The key is fig_id by default."""
+    key = key or ["fig_id"]
+    listed = counts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("cy", "seq", "h"))).alias("all"))
     start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("h"), F.array().cast("array<struct<seq:bigint,row:int>>").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -95,8 +96,8 @@ def side_by_side(counts: DataFrame) -> DataFrame:
         first = lambda name: F.when(same, acc[name]).otherwise(c[name]).alias(name)
         return F.struct(row.alias("row"), first("cy"), first("h"), F.array_append(acc["out"], F.struct(c["seq"].cast("long").alias("seq"), row.alias("row"))).alias("out"))
 
-    rows = listed.select("fig_id", F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("r")).select("fig_id", "r.seq", "r.row")
-    return counts.join(rows, ["fig_id", "seq"])
+    rows = listed.select(*key, F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("r")).select(*key, "r.seq", "r.row")
+    return counts.join(rows, [*key, "seq"])
 
 
 def row_totals(counts: DataFrame) -> DataFrame:

@@ -15,20 +15,36 @@ def _itself() -> Column:
     return F.explode(F.array("seed_id")).alias("paper_id")
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, backward: int = 2, forward: int = 1, max_papers: int = 100) -> DataFrame:
+def id_class(raw: Column) -> Column:
+    """Order in which identifiers are resolved: work ids, then DOIs, then others."""
+    return F.when(raw.rlike("^[Ww][0-9]+$"), 0).when(raw.rlike("^10\\.[0-9]"), 1).otherwise(2)
+
+
+def _steps(edges: DataFrame, aliases: DataFrame | None) -> dict[str, DataFrame]:
+    """Edges to walk along, (at, next, seq) a direction; with aliases, ends are their papers and seq begins with the class of the next one's id."""
+    ends = {"backward": ("source", "target"), "forward": ("target", "source")}
+    if aliases is None:
+        return {way: edges.select(F.col(a).alias("at"), F.col(b).alias("next"), "seq") for way, (a, b) in ends.items()}
+    end = lambda c: aliases.select(F.col("alias").alias(c), F.col("paper_id").alias(f"{c}_paper"))
+    held = cut(edges.join(end("source"), "source").join(end("target"), "target").filter("source_paper <> target_paper"))
+    return {way: held.select(F.col(f"{a}_paper").alias("at"), F.col(f"{b}_paper").alias("next"), F.struct(id_class(F.col(b)).alias("class"), "seq").alias("seq")) for way, (a, b) in ends.items()}
+
+
+def traverse(seeds: DataFrame, edges: DataFrame, backward: int = 2, forward: int = 1, max_papers: int = 100, aliases: DataFrame | None = None) -> DataFrame:
     """(seed_id, paper_id, direction, depth, place): papers in the order in which each seed's walk reaches them.
 
     seeds: seed_id; edges: source, target, seq. Levels go backward (to cited papers) and
     forward (to citing ones) in turn. Forward may spend int(0.35 * (max_papers - 1)) papers,
     backward the rest; what a finished direction leaves goes to the other. Within a level,
-    neighbours come by the smallest seq of their edges, then by id.
+    neighbours come by the smallest seq of their edges, then by id. With aliases (alias,
+    paper_id; an alias once) both ends are resolved first: records of one paper spend its
+    budget once, ids that nothing resolves spend none, and work ids come before DOIs and others.
     """
     budget = max(max_papers - 1, 0)
     share = {"backward": budget if forward <= 0 else 0 if backward <= 0 else budget - int(budget * FORWARD_SHARE)}
     share["forward"] = budget - share["backward"]
     depths = {"backward": backward, "forward": forward}
-    both = edges.select(F.col("source").alias("at"), F.col("target").alias("next"), "seq"), edges.select(F.col("target").alias("at"), F.col("source").alias("next"), "seq")
-    step = dict(zip(("backward", "forward"), both))
+    step = _steps(edges, aliases)
     known = cut(seeds.select("seed_id").distinct().select("seed_id", _itself(), F.lit("seed").alias("direction"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place")))
     for depth in range(max(backward, forward)):
         for way, other in (("backward", "forward"), ("forward", "backward")):

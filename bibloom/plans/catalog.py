@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibloom.plans import fulltext, graph, records, tables, text, views
+from bibloom.plans import figures, fulltext, graph, records, tables, text, views
 
-MODULES = (graph, text, records, views, fulltext, tables)
+MODULES = (graph, text, records, views, fulltext, tables, figures)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

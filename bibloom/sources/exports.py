@@ -71,6 +71,20 @@ def node_link(vertices: DataFrame, edges: DataFrame, group: str) -> DataFrame:
     return joined.select(group, F.to_json(F.struct("nodes", F.coalesce("links", F.array().cast("array<struct<source:string,target:string,weight:double>>")).alias("links"))).alias("document"))
 
 
+def archive_graph(vertices: DataFrame, edges: DataFrame, group: str) -> DataFrame:
+    """One JSON document a graph for archives: directed, with the links under both names that readers know. A graph is a seed's bounded walk."""
+    nodes = vertices.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("paper_id").alias("id"), "title", "year"))).alias("nodes"))
+    links = edges.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("source", "target", "confidence"))).alias("l"))
+    joined = nodes.join(links, group, "left").withColumn("l", F.coalesce("l", F.array().cast("array<struct<source:string,target:string,confidence:double>>")))
+    whole = F.struct(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), "nodes", F.col("l").alias("edges"), F.col("l").alias("links"))
+    return joined.select(group, F.to_json(whole).alias("document"))
+
+
+def run_document(runs: DataFrame, key: str) -> DataFrame:
+    """(key, document): each row whole as an indented JSON document."""
+    return runs.select(key, F.to_json(F.struct(*[F.col(c) for c in runs.columns]), {"pretty": "true", "ignoreNullFields": "false"}).alias("document"))
+
+
 def split_author(name: Column) -> Column:
     """Family and given name as 'Family, Given'; null where there is none."""
     t = F.trim(F.regexp_replace(name, r"\s+", " "))
