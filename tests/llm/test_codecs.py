@@ -157,3 +157,15 @@ def test_a_payload_beyond_one_image():
     payload = media.payload_of(b"ab" * 300_000) * 17
     files = media.store(payload)
     assert len(files) == 2 and media.pixels(files).tobytes() == payload
+
+
+def test_repeated_colours_take_the_smaller_file():
+    sizes = []
+    for text in ("abcdWXYZ" * 900, "the same line again and again\n" * 400, "", "a", "".join(chr(0x4E00 + i % 4000) for i in range(9000))):
+        payload = media.payload_of(text.encode())
+        files = media.store(payload)
+        assert media.pixels(files).tobytes() == payload
+        plain = webp_lossless.encode(np.frombuffer(payload, np.uint8).reshape(-1, media.WIDTH, 4))
+        assert len(files) == 1 and len(files[0]) <= len(plain)
+        sizes.append(len(files[0]) < len(plain))
+    assert sizes[0] and not sizes[-1]
