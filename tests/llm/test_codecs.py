@@ -169,3 +169,55 @@ def test_repeated_colours_take_the_smaller_file():
         assert len(files) == 1 and len(files[0]) <= len(plain)
         sizes.append(len(files[0]) < len(plain))
     assert sizes[0] and not sizes[-1]
+
+
+@pytest.mark.parametrize("bits", [2, 3])
+def test_predictors_that_differ_by_block(bits):
+    rng = np.random.default_rng(bits)
+    height, width = 13, 11
+    image = rng.integers(0, 256, (height, width, 4), dtype=np.uint8)
+    modes = rng.permutation(np.arange(webp_lossless._blocks(width, height, bits)[0] * webp_lossless._blocks(width, height, bits)[1]) % 14)
+    modes = modes.reshape(webp_lossless._blocks(width, height, bits)[::-1])
+    each = [webp_lossless._predicted(image, m) for m in range(14)]
+    left = image.copy()
+    for y in range(height):
+        for x in range(width):
+            left[y, x] = (image[y, x] - each[modes[y >> bits, x >> bits]][y, x]) & 255
+    assert (webp_lossless._inverse_predictor(left, modes, bits) == image).all()
+
+
+def test_a_file_of_several_code_groups():
+    """Two groups, blocks of 4 pixels: one code writes the pixel (1, 2, 3, 255) without bits, the other (9, 8, 7, 255) or green 0."""
+    out = webp_lossless.Writer()
+    for value, size in ((0x2F, 8), (8 - 1, 14), (4 - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (1, 1), (0, 3)):
+        out.put(value, size)
+
+    def simple(*symbols):
+        out.put(1, 1)
+        out.put(len(symbols) - 1, 1)
+        out.put(1, 1)
+        for symbol in symbols:
+            out.put(symbol, 8)
+
+    # the image of groups: two pixels, green 0 and 1, a bit each
+    out.put(0, 1)
+    for symbols in ((0, 1), (0,), (0,), (0,), (0,)):
+        simple(*symbols)
+    out.put(0, 1)
+    out.put(1, 1)
+    for group in (((2,), (1,), (3,), (255,), (0,)), ((0, 8), (9,), (7,), (255,), (0,))):
+        for symbols in group:
+            simple(*symbols)
+    picks = [[1, 0, 0, 1], [1, 1, 1, 1], [0, 0, 0, 0], [0, 1, 0, 1]]
+    for row in picks:
+        for bit in row:
+            out.put(bit, 1)
+    data = out.data()
+    data += bytes(len(data) & 1)
+    import struct
+
+    got = webp_lossless.decode(b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data)
+    want = np.zeros((4, 8, 4), np.uint8)
+    want[:, :4] = (1, 2, 3, 255)
+    want[:, 4:] = [[(9, 8 * bit, 7, 255) for bit in row] for row in picks]
+    assert (got == want).all()
