@@ -160,13 +160,13 @@ LINKED = "SELECT source_paper_id AS seed_id, seq, source_paper_id AS source, tar
 def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = F.expr("transform(sequence(0, n_people), i -> concat('Author ', i))")
     papers = run(spark, sf_dir, PACKED, "edges", "papers").withColumn("authors", F.slice(people, 1, F.col("n_people")))
-    return review.evidence_pack(papers, run(spark, sf_dir, LINKED, "edges"), 8, 12)
+    return review.evidence_pack(papers, run(spark, sf_dir, LINKED, "edges"))
 
 
 A19_SQL = with_recipes(f"""WITH p AS (SELECT seed_id, rank, concat_ws(' ', concat(rank, '. ', title), '(' || year || ')', '- ' || nullif(journal, ''), CASE WHEN n_people > 0 THEN concat('- ', array_to_string(list_transform(range(0, least(3, n_people)), lambda i: concat('Author ', i)), ', '), CASE WHEN n_people > 3 THEN ' et al.' ELSE '' END) END,
-    'DOI: ' || doi, '- Abstract: ' || nullif(left(abstract, 600), '')) AS line FROM ({PACKED}) x WHERE rank <= 8),
+    'DOI: ' || doi, '- Abstract: ' || nullif(left(abstract, 600), '')) AS line FROM ({PACKED}) x WHERE rank <= 40),
 e AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY seq, source, target) AS place, count(*) OVER (PARTITION BY seed_id) AS n FROM ({LINKED}) x),
-links AS (SELECT seed_id, concat_ws(chr(10), concat('Links (', max(n), '):'), string_agg(concat(source, ' -> ', target), chr(10) ORDER BY place) FILTER (place <= 12), CASE WHEN max(n) > 12 THEN concat('... and ', max(n) - 12, ' more links') END) AS t FROM e GROUP BY 1)
+links AS (SELECT seed_id, concat_ws(chr(10), concat('Links (', max(n), '):'), string_agg(concat(source, ' -> ', target), chr(10) ORDER BY place) FILTER (place <= 500), CASE WHEN max(n) > 500 THEN concat('... and ', max(n) - 500, ' more links') END) AS t FROM e GROUP BY 1)
 SELECT p.seed_id, concat_ws(chr(10), 'Papers:', string_agg(line, chr(10) ORDER BY rank), any_value(links.t)) AS pack FROM p LEFT JOIN links ON links.seed_id = p.seed_id GROUP BY 1""", "edges", "papers")
 
 
@@ -243,6 +243,12 @@ def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.traverse(seeds, run(spark, sf_dir, RAW_LINKS, "pairs"), 1, 0, 12, run(spark, sf_dir, NAMES))
 
 
+def f3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk whole: two levels back, one forward, 100 papers a seed."""
+    seeds = table(spark, sf_dir, "seeds").select("seed_id")
+    return traverse.traverse(seeds, run(spark, sf_dir, RAW_LINKS, "pairs"), aliases=run(spark, sf_dir, NAMES))
+
+
 F3_SQL = with_recipes(f"""WITH r AS ({RAW_LINKS}), n AS ({NAMES}), e AS (SELECT s.paper_id AS source, t.paper_id AS target, CASE WHEN r.target LIKE 'W%' THEN 0 WHEN r.target LIKE '10.%' THEN 1 ELSE 2 END AS class, seq FROM r JOIN n s ON s.alias = r.source JOIN n t ON t.alias = r.target WHERE s.paper_id <> t.paper_id),
 near AS (SELECT seed_id, target AS paper_id, min((class, seq)) AS o FROM seeds JOIN e ON source = seed_id GROUP BY 1, 2)
 SELECT seed_id, seed_id AS paper_id, 'seed' AS direction, 0 AS depth, CAST(0 AS BIGINT) AS place FROM (SELECT DISTINCT seed_id FROM seeds) x UNION ALL
@@ -252,7 +258,7 @@ SELECT seed_id, paper_id, 'backward', 1, r FROM (SELECT *, row_number() OVER (PA
 def queries() -> dict:
     return {
         "a8_flow_figure": a8, "a13_archive_graph": a13, "a16_run_document": a16, "a19_evidence_pack": a19, "a20_request_log": a20, "a20_body_shapes": a20_bodies, "c15_stages_from_layout": c15, "c16_second_opinions": c16,
-        "d13_reader_tally": d13, "d15_agreement": d15, "d20_stage_totals": d20, "e10_free_regions": e10, "e12_region_counts": e12, "f3_resolved_walk": f3, "s1_arriving_papers": s1, "s2_daily_budget": s2_budget,
+        "d13_reader_tally": d13, "d15_agreement": d15, "d20_stage_totals": d20, "e10_free_regions": e10, "e12_region_counts": e12, "f3_resolved_walk": f3, "f3_resolved_walk_whole": f3_whole, "s1_arriving_papers": s1, "s2_daily_budget": s2_budget,
     }
 
 

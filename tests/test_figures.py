@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bibloom.operators import evidence, flow, layout, review, traverse
 from bibloom.plans import catalog
-from bibloom.plans.figures import COUNTED, HEADED, _outcomes
+from bibloom.plans.figures import COUNTED, HEADED, NAMES, RAW_LINKS, _outcomes
 from bibloom.sources.recipes import run
 
 BOX = "fig_id string, region_id int, seq int, value long, x0 double, y0 double, x1 double, y1 double, stages array<string>"
@@ -144,3 +144,54 @@ def test_arriving_papers_are_those_of_the_table(spark, sf_dir):
     said = F.concat(F.lit("We enrolled "), 20 + F.col("conv_id") % 900, F.lit(" patients. "), F.coalesce("text", F.lit("")))
     want = evidence.candidates(turns.select(F.concat_ws(":", "conv_id", "turn").alias("paper_id"), F.col("role").alias("section"), said.alias("text"))).select(*found.columns)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() >= turns.count()
+
+
+def plain_walk(seed, step, most=100):
+    """(paper, direction, depth) in order: two levels back, one forward."""
+    depths = {"backward": 2, "forward": 1}
+    share = {"forward": int((most - 1) * 0.35)}
+    share["backward"] = most - 1 - share["forward"]
+    found = [(seed, "seed", 0)]
+    level = lambda way, d: [p for p, w, k in found if k == d and (w == way or d == 0)]
+    for depth in range(2):
+        for way, other in (("backward", "forward"), ("forward", "backward")):
+            if depth >= depths[way]:
+                continue
+            waits = depth < depths[other] and level(other, depth + 1 if other == "backward" else depth)
+            room = most - len(found)
+            if waits:
+                room = min(room, share[way] - sum(w == way for _, w, _ in found))
+            best, held = {}, {p for p, _, _ in found}
+            for at in level(way, depth):
+                for order, near in step[way].get(at, ()):
+                    if near not in held:
+                        best[near] = min(order, best.get(near, order))
+            fresh = sorted((order, p) for p, order in best.items())[: max(room, 0)]
+            found += [(p, way, depth + 1) for _, p in fresh]
+    return found
+
+
+def test_the_whole_walk_with_aliases(spark, sf_dir):
+    owner = {r["alias"]: r["paper_id"] for r in run(spark, sf_dir, NAMES).collect()}
+    kind = lambda raw: 0 if raw.startswith("W") else 1 if raw.startswith("10.") else 2
+    step = {"backward": {}, "forward": {}}
+    for r in run(spark, sf_dir, RAW_LINKS, "pairs").collect():
+        s, t = owner.get(r["source"]), owner.get(r["target"])
+        if s and t and s != t:
+            step["backward"].setdefault(s, []).append(((kind(r["target"]), r["seq"]), t))
+            step["forward"].setdefault(t, []).append(((kind(r["source"]), r["seq"]), s))
+    found = {}
+    for r in catalog.queries()["f3_resolved_walk_whole"](spark, sf_dir).orderBy("seed_id", "place").collect():
+        found.setdefault(r["seed_id"], []).append((r["paper_id"], r["direction"], r["depth"]))
+    assert found and all(rows == plain_walk(seed, step) for seed, rows in found.items())
+    assert max(map(len, found.values())) > 12
+
+
+def test_a_pack_is_cut_by_rank(spark):
+    papers = spark.createDataFrame(
+        [("s", 2, "Two", 1999, "", [], None, "x" * 700), ("s", 1, None, None, "J", ["a", "b", "c", "d"], "10.1/a", None), ("s", 3, "Three", 2000, "J", None, None, None)],
+        "seed_id string, rank int, title string, year int, journal string, authors array<string>, doi string, abstract string",
+    )
+    edges = spark.createDataFrame([("s", 2, "p", "q"), ("s", 1, "q", "r"), ("none", 1, "a", "b")], "seed_id string, seq int, source string, target string")
+    rows = review.evidence_pack(papers, edges, 2, 1).collect()
+    assert [(r["seed_id"], r["pack"]) for r in rows] == [("s", "Papers:\n1. Untitled - J - a, b, c et al. DOI: 10.1/a\n2. Two (1999) - Abstract: " + "x" * 600 + "\nLinks (2):\nq -> r\n... and 1 more links")]
