@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bibloom.llm import exact_dedup, license_scan, media, near_dedup, packing, pieces, pii, quality, secret_scan, sharding
+from bibloom.llm import exact_dedup, hadamard_clusters, license_scan, media, near_dedup, packing, pca_tiles, pieces, pii, quality, secret_scan, segment_negatives, sharding
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_webp_lossless": media.query,
         "op9_pii_disclosure": pii.query,
         "op10_license_index": license_scan.query,
+        "op11_pca_tiles": pca_tiles.query,
+        "op12_hadamard_clusters": hadamard_clusters.query,
+        "op13_segment_negatives": segment_negatives.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op3_exact_dedup": exact_dedup.ORACLE,
+        "op11_pca_tiles": pca_tiles.ORACLE,
+        "op12_hadamard_clusters": hadamard_clusters.ORACLE,
+        "op13_segment_negatives": segment_negatives.ORACLE,
+    }
