@@ -75,6 +75,20 @@ def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.candidates(table(spark, sf_dir, "texts")).select("paper_id", "sentence_no", "raw_text", "value", "semantic_type", "confidence", (F.col("end_char") - F.col("start_char")).alias("length"))
 
 
+def e2_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with their ids and offsets."""
+    return evidence.candidates(table(spark, sf_dir, "texts")).select("candidate_id", "paper_id", "sentence_no", "match_no", "sentence", "start_char", "end_char", "value")
+
+
+def e2_own_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a caller's own patterns: numbers of images and of documents."""
+    found = evidence.candidates(table(spark, sf_dir, "texts"), OWN_PATTERNS, ())
+    return found.select("paper_id", "sentence_no", "raw_text", "start_char", "value", "semantic_type", "confidence")
+
+
+OWN_PATTERNS = (evidence.Pattern(r"\b(N)\s+(?:thousand\s+)?images\b", "IMAGES", 0.5), evidence.Pattern(r"\bhas\s+(N)\s+documents\b", "DOCUMENTS", 0.9))
+
+
 def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evidence.candidates(table(spark, sf_dir, "texts"))
     return evidence.resolve(found, table(spark, sf_dir, "papers")).drop("selected_candidate_id")
@@ -93,7 +107,7 @@ _SENTENCES = r"""s AS (SELECT paper_id, section, generate_subscripts(p, 1) - 1 A
 
 
 def _matched(i: int) -> str:
-    name, pattern, kind, weight = evidence.POPULATION[i]
+    pattern, kind, weight = evidence.POPULATION[i]
     p = ("(?i)" + pattern.replace("(N)", f"({evidence.NUMBER})")).replace("'", "''")
     return f"SELECT paper_id, section, sentence_no, sentence, {i} AS pattern_no, unnest(regexp_extract_all(sentence, '{p}', 0)) AS raw_text, unnest(regexp_extract_all(sentence, '{p}', 1)) AS number, generate_subscripts(regexp_extract_all(sentence, '{p}', 0), 1) AS k, '{kind}' AS semantic_type, {weight}::DOUBLE AS weight FROM s"
 
@@ -103,6 +117,18 @@ _CANDIDATES = f"""{_SENTENCES}, m AS ({' UNION ALL '.join(_matched(i) for i in r
 c AS (SELECT *, CAST(floor(CAST(replace(number, ',', '') AS DOUBLE)) AS INTEGER) AS value, round(least(1.0::DOUBLE, weight + CASE WHEN section IN ('abstract', 'methods') THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END), 6) AS confidence FROM m
     WHERE NOT regexp_full_match(number, '20[0-9][0-9]') AND NOT regexp_matches(sentence, '(^|[^0-9,.])' || number || '\\s*(%|mg)'))"""
 E2_SQL = with_recipes(f"WITH {_CANDIDATES} SELECT paper_id, CAST(sentence_no AS INTEGER) AS sentence_no, raw_text, value, semantic_type, confidence, CAST(length(raw_text) AS INTEGER) AS length FROM c WHERE value BETWEEN 1 AND 10000000", "texts")
+# no text here repeats a match, so a match stands where its words first do
+_NUMBERED = _CANDIDATES.replace("FROM m\n", "FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, section, sentence_no ORDER BY pattern_no, k) - 1 AS match_no FROM m) n\n")
+E2_PLACES_SQL = with_recipes(f"""WITH {_NUMBERED}
+SELECT sha256(concat_ws('|', paper_id, section, sentence_no, match_no)) AS candidate_id, paper_id, sentence_no::INTEGER AS sentence_no, match_no::INTEGER AS match_no, trim(sentence) AS sentence,
+    (strpos(sentence, raw_text) - 1)::INTEGER AS start_char, (strpos(sentence, raw_text) - 1 + length(raw_text))::INTEGER AS end_char, value
+FROM c WHERE value BETWEEN 1 AND 10000000""", "texts")
+E2_OWN_SQL = with_recipes(rf"""WITH {_SENTENCES}, m AS (
+    SELECT paper_id, section, sentence_no, sentence, regexp_extract(sentence, '([0-9]+) (thousand )?images', 0) AS raw_text, 'IMAGES' AS semantic_type, 0.5::DOUBLE AS weight FROM s UNION ALL
+    SELECT paper_id, section, sentence_no, sentence, substr(regexp_extract(sentence, 'tested on [0-9]+ images', 0), 11), 'IMAGES', 0.5::DOUBLE FROM s WHERE regexp_matches(sentence, 'images.*images') UNION ALL
+    SELECT paper_id, section, sentence_no, sentence, regexp_extract(sentence, 'has ([0-9]+) documents', 0), 'DOCUMENTS', 0.9::DOUBLE FROM s)
+SELECT paper_id, sentence_no::INTEGER AS sentence_no, raw_text, (strpos(sentence, raw_text) - 1)::INTEGER AS start_char, regexp_extract(raw_text, '[0-9]+')::INTEGER AS value, semantic_type,
+    round(least(1.0::DOUBLE, weight + CASE WHEN section IN ('abstract', 'methods') THEN 0.1::DOUBLE ELSE 0::DOUBLE END), 6) AS confidence FROM m WHERE raw_text <> ''""", "texts")
 _PRIORITY = "CASE semantic_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in evidence.PRIORITY.items()) + " ELSE 0 END"
 _RESOLVED = f"""{_CANDIDATES}, h AS (SELECT *, confidence * (1 + {_PRIORITY} / 10.0::DOUBLE) AS score FROM c WHERE value BETWEEN 1 AND 10000000 AND confidence > 0.4),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, confidence DESC, sentence_no, pattern_no, k) AS r FROM h) x WHERE r = 1),
@@ -228,7 +254,7 @@ SELECT id, candidate, round(s, 9) AS score FROM (SELECT *, row_number() OVER (PA
 def queries() -> dict:
     return {
         "b1_canonical_id": b1, "b2_strip_view": b2, "b3_query_type": b3, "b4_lookup_key": b4, "b5_validate": b5, "b13_clamp": b13,
-        "e2_population_candidates": e2, "e3_resolve_population": e3, "e4_domain_gate": e4, "e5_dataset_counts": e5,
+        "e2_population_candidates": e2, "e2_candidate_places": e2_places, "e2_own_patterns": e2_own_patterns, "e3_resolve_population": e3, "e4_domain_gate": e4, "e5_dataset_counts": e5,
         "d19_ngram_overlap": d19, "f13_shared_passages": f13, "d9_detection": d9, "d10_wilson": d10, "d11_exact_match": d11, "d14_mcnemar": d14,
         "c8_title_match": c8,
     }
@@ -238,6 +264,6 @@ def oracle_sql() -> dict:
     return {
         "b1_canonical_id": B1_SQL, "b2_strip_view": B2_SQL, "b3_query_type": B3_SQL, "b4_lookup_key": B4_SQL, "b5_validate": B5_SQL,
         "b13_clamp": "SELECT p_partkey, least(greatest(p_size - 5, 0), 3) AS backward, least(greatest(p_size - 5, 0), 2) AS forward, least(greatest(p_partkey, 1), 200) AS papers FROM part",
-        "e2_population_candidates": E2_SQL, "e3_resolve_population": E3_SQL, "e4_domain_gate": E4_SQL, "e5_dataset_counts": E5_SQL,
+        "e2_population_candidates": E2_SQL, "e2_candidate_places": E2_PLACES_SQL, "e2_own_patterns": E2_OWN_SQL, "e3_resolve_population": E3_SQL, "e4_domain_gate": E4_SQL, "e5_dataset_counts": E5_SQL,
         "d19_ngram_overlap": D19_SQL, "d9_detection": D9_SQL, "d10_wilson": D10_SQL, "d11_exact_match": D11_SQL, "d14_mcnemar": D14_SQL, "c8_title_match": C8_SQL,
     }

@@ -6,6 +6,8 @@ study sizes. The text is shared with the oracles, so both sides start from the s
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("part", "lineitem", "orders", "customer", "supplier", "nation", "region", "events", "documents", "pages", "benchmark", "labels", "conversations")
@@ -79,16 +81,18 @@ def with_recipes(body: str, *names: str) -> str:
     return f"WITH {parts}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {parts} {body}"
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
+def register(spark: SparkSession, sf_dir: str, body: str | None = None) -> None:
+    """Views of the given tables, of those only that the text of a query names: each costs a job that reads its schema."""
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        if body is None or re.search(rf"\b{name}\b", body):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register(spark, sf_dir)
-    return spark.sql(with_recipes(f"SELECT * FROM {name}", name)) if name in RECIPES else spark.table(name)
+    return run(spark, sf_dir, f"SELECT * FROM {name}", *([name] if name in RECIPES else []))
 
 
 def run(spark: SparkSession, sf_dir: str, body: str, *names: str) -> DataFrame:
-    register(spark, sf_dir)
-    return spark.sql(with_recipes(body, *names) if names else body)
+    body = with_recipes(body, *names) if names else body
+    register(spark, sf_dir, body)
+    return spark.sql(body)
