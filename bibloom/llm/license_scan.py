@@ -1,11 +1,14 @@
 """Licence scanning by a positional index of rare tokens; DataFrame functions only.
 
-Templates of licence notices are indexed under their rarest words: the ``POSTED`` words of a
-template with the highest inverse document frequency over the whole corpus, each with its
-position. A file looks up every posted word that it holds, every occurrence proposing a
-(template, offset); proposals are intersected by relative position, so at least two posted
-words must stand where the template has them, and the template's mandatory key phrase must
-stand there word by word. The score is the share of the template's words in place.
+Templates of licence notices are indexed under the rarest words of their mandatory key
+phrase: the ``POSTED`` ones with the highest inverse document frequency over the whole corpus,
+each with its position. Words of the key phrase are taken because a match has them all in
+place: no match is lost, however the rest of a notice was changed or cut. A template whose key
+phrase has a word that no document holds can match nowhere and posts nothing. A file looks up
+every posted word that it holds, every occurrence proposing a (template, offset); proposals
+are intersected by relative position, so at least two posted words must stand where the
+template has them, and the key phrase must stand there word by word. The score is the share
+of the template's words in place.
 
 Beside the templates' labels, fixed phrases anywhere in a text give the base labels.
 
@@ -54,6 +57,22 @@ TEMPLATES = (
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     Template("cc-by", "licensed under cc by 4 0", "cc by 4"),
+    Template("agpl-3", "it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", "gnu affero general public license"),
+    Template("gpl-2", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "gnu general public license as published by the free software foundation either version 2"),
+    Template("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1", "gnu lesser general public license version 2 1"),
+    Template("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    Template("cddl-1", "the contents of this file are subject to the terms of the common development and distribution license version 1 0", "common development and distribution license"),
+    Template("artistic-2", "this package is distributed under the artistic license 2 0", "artistic license 2 0"),
+    Template("bsl-1", "distributed under the boost software license version 1 0", "boost software license version 1 0"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    Template("wtfpl", "do what the fuck you want to public license", "what the fuck you want to public license"),
+    Template("cc0-1", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work cc0 1 0", "waived all copyright and related or neighboring rights"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    Template("spdx-mit", "spdx license identifier mit", "spdx license identifier mit"),
+    Template("spdx-apache-2", "spdx license identifier apache 2 0", "spdx license identifier apache 2 0"),
+    Template("spdx-bsd-3", "spdx license identifier bsd 3 clause", "spdx license identifier bsd 3 clause"),
+    Template("spdx-gpl-2", "spdx license identifier gpl 2 0", "spdx license identifier gpl 2 0"),
+    Template("spdx-gpl-3", "spdx license identifier gpl 3 0", "spdx license identifier gpl 3 0"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 )
 
@@ -76,11 +95,14 @@ def document_frequencies(texts: DataFrame, templates: tuple[Template, ...] = TEM
 
 
 def posted_words(frequencies: dict[str, int], templates: tuple[Template, ...] = TEMPLATES, posted: int = POSTED) -> list[list[tuple[str, int]]]:
-    """For each template its rarest words and their first positions; ties: the earlier word."""
+    """For each template the rarest words of its key phrase and their first positions there; ties: the earlier word."""
     out = []
     for t in templates:
-        words = t.notice.split()
-        first = {w: words.index(w) for w in words}
+        key, at = t.key.split(), _key_at(t)
+        if not all(frequencies[w] for w in key):
+            out.append([])
+            continue
+        first = {w: at + key.index(w) for w in key}
         out.append(sorted(first.items(), key=lambda x: (frequencies[x[0]], x[1]))[:posted])
     return out
 
@@ -150,12 +172,14 @@ def scan(
     """(id, n_words, phrases array of (label, starts), matches array of (label, score)) for every row."""
     texts = docs.select(F.col(id_col).alias("id"), normalised(text_of(text_col)).alias("norm"))
     frequencies = document_frequencies(texts, templates)
-    index = posted_words(frequencies, templates, posted)
-    licence = F.array(*map(F.lit, sorted({w for entries in index for w, _ in entries})))
+    live = [(t, entries) for t, entries in zip(templates, posted_words(frequencies, templates, posted)) if entries]
+    templates, index = tuple(t for t, _ in live), [entries for _, entries in live]
+    licence = F.array(*map(F.lit, sorted({w for entries in index for w, _ in entries}))).cast("array<string>")
     split = texts.withColumn("words", words_of(F.col("norm")))
     size = split.withColumn("candidate", F.arrays_overlap("words", licence))
     starts = F.array(*[F.struct(F.lit(label).alias("label"), _phrase_starts(phrase).alias("starts")) for phrase, label in BASE])
-    matches = F.when(F.col("candidate"), _aligned(templates, index, frequencies)).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
+    none = F.array().cast("array<struct<label:string,score:double>>")
+    matches = F.when(F.col("candidate"), _aligned(templates, index, frequencies)).otherwise(none) if index else none
     return size.select(F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), starts.alias("phrases"), matches.alias("matches"))
 
 

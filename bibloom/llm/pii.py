@@ -4,9 +4,9 @@ Entities are the values of the base kinds: e-mail addresses, IP addresses, card
 phone numbers. The whole corpus tells how strongly a term reveals an entity: with counts
 over all documents, PMI(e; t) = log(N n(e,t) / (n(e) n(t))) against the entity's own
 information IC(e) = log(N / n(e)). A term with PMI >= ``disclosure`` * IC, seen with the
-entity in ``support`` different texts at least, discloses it; its occurrences in all texts,
-with the entity or without it, become spans of kind ``term``. The query judges entities of
-one text too (``support`` 1); the functions' default of 3 leaves them out. ``sanitise`` replaces entities by their kind,
+entity in ``support`` different texts at least discloses it; the query's ``support`` of 1 judges
+entities of a single text too, the functions' default leaves them out. Its occurrences in all texts, with the entity or without it, become spans of
+kind ``term``. ``sanitise`` replaces entities by their kind,
 generalises disclosing numbers and names to their class, and removes other disclosing terms.
 
 Counts cover all documents, copies included; texts that hold an entity are kept once, by
@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibloom.functions.spans import literal, places
 from bibloom.llm.common import column, documents, sha256, span_text, text_of, tidy, whole_row, written
 
 SUPPORT = 3
@@ -31,32 +32,11 @@ KINDS = ("email", "ip", "card", "phone")
 SPAN = "struct<kind:string,start:int,end:int>"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCK = 256
-
-
-def running_sums(values: Column) -> Column:
-    """Sums of an array up to each place, in blocks so that long arrays stay cheap."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, v: a + v)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(values, b * BLOCK + 1, BLOCK)))
-    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, 1, b)))
-    block = lambda i: F.floor(i / BLOCK).cast("int")
-    sums = F.transform(values, lambda _, i: F.get(before, block(i)) + total(F.slice(values, block(i) * BLOCK + 1, i - block(i) * BLOCK + 1)))
-    return F.when(F.size(values) > 0, sums).otherwise(F.array().cast("array<int>"))
-
-
-def with_matches(df: DataFrame, name: str, text: Column, pattern: Column, when: Column) -> DataFrame:
-    """Adds ``name``: the matches as (value, start, end). Spark has no find-all with places: gaps come from a split by the same pattern."""
-    none = F.array().cast("array<string>")
-    v, g, e = f"__{name}_v", f"__{name}_g", f"__{name}_e"
-    found = F.when(when, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none)
-    df = df.withColumn(v, found)
-    some = F.size(v) > 0
-    gaps = F.when(some, F.transform(F.split(text, pattern, -1), F.length)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(g, gaps)
-    df = df.withColumn(g, F.zip_with(F.slice(g, 1, F.size(v)), v, lambda gap, m: gap + F.length(m)))
-    df = df.withColumn(e, F.when(some, running_sums(F.col(g))).otherwise(F.array().cast("array<int>")))
-    spans = F.zip_with(v, e, lambda m, end: F.struct(m.alias("value"), (end - F.length(m)).alias("start"), end.alias("end")))
-    return df.withColumn(name, spans).drop(v, g, e)
+
+
+def with_matches(df: DataFrame, name: str, text: str, pattern: str, when: str) -> DataFrame:
+    """Adds ``name``: the matches as (value, start, end), in time linear in their number; text, pattern and when are SQL."""
+    return df.withColumn(name, F.expr(places(text, pattern, when)))
 
 
 def _digits(value: Column) -> Column:
@@ -81,10 +61,10 @@ def base_spans(df: DataFrame, text: str, name: str = "entities") -> DataFrame:
     clean = F.translate(t, "\u0001", "\u0002")
     df = df.withColumn("__host", F.when(t.contains("@"), F.regexp_replace(clean, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", "\u0001")))
     df = df.withColumn("__number", F.when(t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), F.regexp_replace(clean, r"(?<=[0-9])[\x20-](?=[0-9])", "\u0001")))
-    df = with_matches(df, "__email", F.col("__host"), F.lit(r"(?:\G|(?<![A-Za-z0-9._%+\x01-]))[A-Za-z0-9._%+\x01-]++@[A-Za-z0-9-]++\x01[A-Za-z0-9\x01-]++"), F.col("__host").isNotNull())
-    df = with_matches(df, "__ip", t, F.lit(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"))
-    df = with_matches(df, "__card", F.col("__number"), F.lit(r"[0-9][0-9\x01]*+"), F.col("__number").rlike(r"[0-9][0-9\x01]{11}"))
-    df = with_matches(df, "__phone", t, F.lit(r"\+[0-9][\x20().0-9-]+[0-9]"), t.contains("+"))
+    df = with_matches(df, "__email", "__host", literal(r"(?:\G|(?<![A-Za-z0-9._%+\x01-]))[A-Za-z0-9._%+\x01-]++@[A-Za-z0-9-]++\x01[A-Za-z0-9\x01-]++"), "__host IS NOT NULL")
+    df = with_matches(df, "__ip", text, literal(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), f"{text} RLIKE {literal(r'[0-9]\.[0-9]++\.[0-9]++\.[0-9]')}")
+    df = with_matches(df, "__card", "__number", literal(r"[0-9][0-9\x01]*+"), f"__number RLIKE {literal(r'[0-9][0-9\x01]{11}')}")
+    df = with_matches(df, "__phone", text, literal(r"\+[0-9][\x20().0-9-]+[0-9]"), f"contains({text}, '+')")
     part_ok = lambda p: p.cast("double") <= 255
     length = lambda s: F.length(_digits(s["value"]))
     keep = {
@@ -168,11 +148,11 @@ def text_spans(docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
     terms, without = disclosing_terms(docs, held, text_col, support, disclosure)
     texts = held.select("sha", "content", "entities").unionByName(without.withColumn("entities", F.array().cast(f"array<{SPAN}>")))
     joined = texts.join(terms, "sha", "left")
-    lowered = F.translate(F.col("content"), UPPER, LOWER)
     inside = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
     # terms have word characters only, so they need no quoting
     pattern = F.concat(F.lit(f"(?<!{inside})(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(f")(?!{inside})"))
-    joined = with_matches(joined, "__term", lowered, pattern, F.size("terms") > 0)
+    joined = joined.select("*", F.translate("content", UPPER, LOWER).alias("__lowered"), pattern.alias("__pattern"))
+    joined = with_matches(joined, "__term", "__lowered", "__pattern", "size(terms) > 0")
     free = F.filter("__term", lambda s: ~F.exists("entities", lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"])))
     added = F.transform(free, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     order = F.array(*map(F.lit, (*KINDS, "term")))

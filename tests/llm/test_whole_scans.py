@@ -1,5 +1,7 @@
 """Cases where the scans once did less than the whole job."""
 
+import re
+
 from bibloom.llm import pii
 
 from . import cases
@@ -40,3 +42,12 @@ def test_many_entities_and_many_terms_in_one_text(spark):
     found = pii.find(cases.documents(spark, [text] + FILLER, extra=False), support=1).orderBy("doc_id").first()
     assert len(found["entities"]) == 200
     assert sum(s["kind"] == "term" for s in found["spans"]) == 200
+
+
+def test_very_long_texts(spark):
+    words = " ".join(f"word{i}" for i in range(20000)) + " mail zed@corp.example"
+    addresses = " ".join(f"user{i}@corp{i}.example" for i in range(3000))
+    got = {r["doc_id"]: r for r in pii.find(cases.documents(spark, [words, addresses] + FILLER, extra=False), support=1).collect()}
+    ends = [m.span() for m in re.finditer("[a-z0-9]+", words) if m[0] not in ("zed", "corp", "example")]
+    assert [(s["start"], s["end"]) for s in got[0]["spans"] if s["kind"] == "term"] == ends
+    assert [s["start"] for s in got[1]["entities"]] == [m.start() for m in re.finditer(r"user", addresses)]
