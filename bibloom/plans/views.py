@@ -71,7 +71,8 @@ def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.link_confidence(table(spark, sf_dir, "papers"), table(spark, sf_dir, "edges"))
 
 
-def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def crossref_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the second provider's nested shape."""
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     raw = p.select(
@@ -79,13 +80,18 @@ def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.col("p_brand").alias("given"), F.when(k % 2 > 0, F.col("p_type")).alias("family"))).alias("author"),
         F.when(k % 3 > 0, F.struct(F.array(F.array((F.lit(1970) + k % 50).cast("int"), F.lit(1))).alias("date-parts"))).alias("issued"), F.when(k % 6 > 0, F.array("p_brand")).alias("container-title"),
     )
-    return records.crossref_papers(raw)
+    return raw
+
+
+def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.crossref_papers(crossref_works(spark, sf_dir))
 
 
 A2_SQL = "SELECT CASE WHEN p_partkey % 4 > 0 THEN concat('10.1/AbC', p_partkey) ELSE 'unknown' END AS paper_id, CASE WHEN p_partkey % 4 > 0 THEN concat('10.1/AbC', p_partkey) END AS doi, CASE WHEN p_partkey % 5 > 0 THEN p_name ELSE 'Unknown Title' END AS title, [CASE WHEN p_partkey % 2 > 0 THEN p_brand || ' ' || p_type ELSE p_brand END] AS authors, CASE WHEN p_partkey % 3 > 0 THEN CAST(1970 + p_partkey % 50 AS INTEGER) END AS year, CASE WHEN p_partkey % 6 > 0 THEN p_brand END AS journal, 0.9::DOUBLE AS metadata_confidence FROM part"
 
 
-def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
+def europe_pmc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the third provider's nested shape."""
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     none = F.lit(None).cast("string")
@@ -94,7 +100,11 @@ def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("title"), F.struct(F.array(F.struct(F.col("p_brand").alias("fullName")), F.struct(F.lit("").alias("fullName"))).alias("author")).alias("authorList"),
         F.when(k % 4 > 0, (F.lit(1970) + k % 50).cast("string")).alias("pubYear"), F.struct(F.struct(F.col("p_type").alias("title")).alias("journal")).alias("journalInfo"), F.col("p_type").alias("abstractText"),
     )
-    return records.europe_pmc_papers(raw).drop("pmcid")
+    return raw
+
+
+def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.europe_pmc_papers(europe_pmc_hits(spark, sf_dir)).drop("pmcid")
 
 
 A3_SQL = "SELECT CASE WHEN p_partkey % 3 = 0 THEN concat('PMC', p_partkey) WHEN p_partkey % 3 = 1 THEN concat('', p_partkey) WHEN p_partkey % 2 = 0 THEN concat('10.1/x', p_partkey) ELSE '' END AS paper_id, CASE WHEN p_partkey % 2 = 0 THEN concat('10.1/x', p_partkey) END AS doi, CASE WHEN p_partkey % 3 < 2 THEN concat('', p_partkey) END AS pmid, p_name AS title, [p_brand] AS authors, CASE WHEN p_partkey % 4 > 0 THEN CAST(1970 + p_partkey % 50 AS INTEGER) END AS year, p_type AS journal, p_type AS abstract, 0.85::DOUBLE AS metadata_confidence FROM part"

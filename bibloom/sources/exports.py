@@ -57,10 +57,47 @@ def xml_text(value: Column) -> Column:
     return out
 
 
+NODE_KEYS = {"title": "string", "year": "int", "n_eff": "int", "status": "string"}
+EDGE_KEYS = {"weight": "double", "confidence": "double"}
+GRAPHML_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'
+GRAPH_HEAD, GRAPHML_END = '<graph edgedefault="directed">', "</graph>\n</graphml>"
+
+
+def _data(key: str, name: str | None = None) -> Column:
+    """A data element; null for a null attribute, which has no place in the format."""
+    value = F.col(name or key).cast("string")
+    return F.concat(F.lit(f'<data key="{key}">'), xml_text(value), F.lit("</data>"))
+
+
 def graphml_nodes(vertices: DataFrame) -> DataFrame:
     """(id, line): a node element; null attributes are left out."""
-    data = lambda key: F.when(F.col(key).isNotNull(), F.concat(F.lit(f'<data key="{key}">'), xml_text(F.col(key).cast("string")), F.lit("</data>")))
-    return vertices.select("paper_id", F.concat(F.lit('<node id="'), xml_text(F.col("paper_id")), F.lit('">'), F.concat_ws("", data("title"), data("year"), data("n_eff"), data("status")), F.lit("</node>")).alias("line"))
+    return vertices.select("paper_id", F.concat(F.lit('<node id="'), xml_text(F.col("paper_id")), F.lit('">'), F.concat_ws("", *map(_data, NODE_KEYS)), F.lit("</node>")).alias("line"))
+
+
+def graphml_lines(vertices: DataFrame, edges: DataFrame, group: str) -> DataFrame:
+    """(group, part, k1, k2, line): the lines of a GraphML document a group, in the order of part, k1 and k2.
+
+    Parts: 0 head and keys, 1 nodes, 2 edges, 3 end. A line is a row, so a graph of any size needs no row of its
+    own. vertices: group, paper_id, attributes of NODE_KEYS; edges: group, source, target, attributes of EDGE_KEYS.
+    """
+    keys = "\n".join([GRAPHML_HEAD, *[f'<key id="{k}" for="{kind}" attr.name="{k}" attr.type="{t}"/>' for kind, found in (("node", NODE_KEYS), ("edge", EDGE_KEYS)) for k, t in found.items()], GRAPH_HEAD])
+    graphs = vertices.select(group).distinct()
+    frame = lambda part, line: graphs.select(group, F.lit(part).alias("part"), F.lit("").alias("k1"), F.lit("").alias("k2"), F.lit(line).alias("line"))
+    nodes = vertices.select(group, F.lit(1), "paper_id", F.lit(""), F.concat(F.lit('<node id="'), xml_text(F.col("paper_id")), F.lit('">'), F.concat_ws("", *map(_data, NODE_KEYS)), F.lit("</node>")))
+    ends = F.concat(F.lit('<edge source="'), xml_text(F.col("source")), F.lit('" target="'), xml_text(F.col("target")), F.lit('">'))
+    links = edges.select(group, F.lit(2), "source", "target", F.concat(ends, F.concat_ws("", *map(_data, EDGE_KEYS)), F.lit("</edge>")))
+    return frame(0, keys).union(nodes).union(links).union(frame(3, GRAPHML_END))
+
+
+def write_documents(lines: DataFrame, path: str, group: str, parts: int | None = None) -> None:
+    """Each group's lines (part, k1, k2, line) as text files in a folder of its own.
+
+    The rows are dealt out by ranges of their order, so file names in ascending order give the document, and a
+    large one is written by many tasks at once.
+    """
+    order = [group, "part", "k1", "k2"]
+    ranged = lines.repartitionByRange(parts, *order) if parts else lines.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).select(group, F.col("line").alias("value")).write.partitionBy(group).text(path)
 
 
 def node_link(vertices: DataFrame, edges: DataFrame, group: str) -> DataFrame:
