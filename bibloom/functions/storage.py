@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,20 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         session.conf.set(name, before)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: one job where a checkpoint takes two, and joins know its size."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables from ``written`` that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for name in table.inputFiles()[:1]:
+            path = context._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if path.getName().startswith("table-"):
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

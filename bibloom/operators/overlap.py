@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibloom.functions.storage import written
+
 WIDTH = 8
 
 
@@ -18,20 +20,42 @@ def normalised_words(text: Column) -> Column:
 
 def grams(df: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
     """(key, pos, gram): each n-gram with its place; texts shorter than ``width`` have none."""
-    words = df.select(key, normalised_words(F.col(text)).alias("words")).filter(F.size("words") >= width)
-    # sliding windows over the array; a gram's text is made once a row
-    starts = F.sequence(F.lit(0), F.size("words") - width)
+    words = df.select(key, normalised_words(F.col(text)).alias("words"))
+    # sliding windows over the array; a filter on its size would work the words out a second time
+    starts = F.when(F.size("words") >= width, F.sequence(F.lit(0), F.size("words") - width))
     return words.select(key, F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, width), " "))).alias("pos", "gram"))
 
 
+def gram_counts(df: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
+    """(key, grams) of the texts that have any, from their numbers of words."""
+    counts = df.select(key, (F.size(normalised_words(F.col(text))) - (width - 1)).cast("long").alias("grams"))
+    return counts.filter("grams > 0")
+
+
 def shared_grams(targets: DataFrame, sources: DataFrame) -> DataFrame:
-    """The targets' grams that occur in any source. Sources are deduplicated first, so a common gram joins once."""
-    return targets.join(sources.select("gram").distinct(), "gram", "left_semi")
+    """The targets' grams that occur in any source.
+
+    Sources are deduplicated into two tables first, of 64-bit hashes and of texts. The hashes, 8 bytes a gram, sift
+    the targets' grams, in the scan itself while that table's size allows a broadcast; what passes is confirmed
+    by its text, so a collision adds nothing. A common gram joins once.
+    """
+    texts = written(sources.select("gram").distinct())
+    hashes = written(texts.select(F.xxhash64("gram").alias("hash")).distinct())
+    sifted = targets.withColumn("hash", F.xxhash64("gram")).join(hashes, "hash", "left_semi").drop("hash")
+    return sifted.join(texts, "gram", "left_semi")
 
 
 def overlap(targets: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """(key, grams, shared, percent, band) of every target."""
-    total = targets.groupBy(key).agg(F.count(F.lit(1)).alias("grams"))
+    return _shares(targets.groupBy(key).agg(F.count(F.lit(1)).alias("grams")), targets, sources, key)
+
+
+def text_overlap(targets: DataFrame, sources: DataFrame, key: str, source_key: str, text: str = "text", width: int = WIDTH) -> DataFrame:
+    """``overlap`` of texts: totals come from numbers of words, so grams that no source has never leave the scan."""
+    return _shares(gram_counts(targets, key, text, width), grams(targets, key, text, width), grams(sources, source_key, text, width), key)
+
+
+def _shares(total: DataFrame, targets: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     hit = shared_grams(targets, sources).groupBy(key).agg(F.count(F.lit(1)).alias("shared"))
     share = 100.0 * F.coalesce("shared", F.lit(0)) / F.col("grams")
     joined = total.join(hit, key, "left")

@@ -5,44 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.functions.storage import cut
+from bibloom.functions.storage import forget, written
 
 DAMPING = 0.85
 
 
 def pagerank(
     vertices: DataFrame, edges: DataFrame, iterations: int = 100, tolerance: float | None = 1e-6,
-    damping: float = DAMPING, every: int = 5,
+    damping: float = DAMPING,
 ) -> DataFrame:
     """(graph, id, pagerank): uniform teleport, dangling mass spread uniformly over its graph.
 
-    vertices: graph, id; edges: graph, source, target, weight. Runs until in every graph the
-    summed change is below n * tolerance; tolerance None runs all iterations. What a hot
-    target gains is summed on the map side before the shuffle.
+    vertices: graph, id; edges: graph, source, target, weight. A graph is done when its summed
+    change is below n * tolerance; it leaves the loop then, and the loop ends with the last one
+    or after ``iterations`` steps. tolerance None runs all iterations. What a hot target gains is
+    summed on the map side before the shuffle. Each step's ranks are a table, and the one before goes.
     """
-    total = edges.groupBy("graph", "source").agg(F.sum("weight").alias("total")).filter("total > 0")
-    share = cut(edges.join(total, ["graph", "source"]).select("graph", "source", "target", (F.col("weight") / F.col("total")).alias("p")))
-    sizes = vertices.select("graph", "id").distinct().groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
+    weighted = edges.select("graph", "source", "target", "weight")
+    total = written(weighted.groupBy("graph", "source").agg(F.sum("weight").alias("total")).filter("total > 0"))
+    share = written(weighted.join(total, ["graph", "source"]).select("graph", "source", "target", (F.col("weight") / F.col("total")).alias("p")))
+    once = vertices.select("graph", "id").distinct()
+    sizes = once.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
     linked = total.select("graph", F.col("source").alias("id"), F.lit(True).alias("linked"))
-    nodes = vertices.select("graph", "id").distinct().join(linked, ["graph", "id"], "left").join(sizes, "graph")
-    ranks = cut(nodes.withColumn("pagerank", 1.0 / F.col("n")))
+    ranks = written(once.join(linked, ["graph", "id"], "left").join(sizes, "graph").withColumn("pagerank", 1.0 / F.col("n")).withColumn("old", F.lit(None).cast("double")))
+    forget(total)
+    live, links, done = ranks, share, []
     for step in range(1, iterations + 1):
-        loose = ranks.filter("linked is null").groupBy("graph").agg(F.sum("pagerank").alias("loose"))
+        loose = live.filter("linked is null").groupBy("graph").agg(F.sum("pagerank").alias("loose"))
         gained = (
-            share.join(ranks.select("graph", F.col("id").alias("source"), "pagerank"), ["graph", "source"])
+            links.join(live.select("graph", F.col("id").alias("source"), "pagerank"), ["graph", "source"])
             .groupBy("graph", F.col("target").alias("id"))
             .agg(F.sum(F.col("p") * F.col("pagerank")).alias("gain"))
         )
-        fresh = ranks.withColumnRenamed("pagerank", "old").join(gained, ["graph", "id"], "left").join(loose, "graph", "left")
+        joined = live.drop("old").withColumnRenamed("pagerank", "old").join(gained, ["graph", "id"], "left").join(loose, "graph", "left")
         zero = F.lit(0.0)
         value = damping * (F.coalesce("gain", zero) + F.coalesce("loose", zero) / F.col("n")) + (1 - damping) / F.col("n")
-        fresh = fresh.select("graph", "id", "linked", "n", "old", value.alias("pagerank"))
+        fresh = written(joined.select("graph", "id", "linked", "n", value.alias("pagerank"), "old"))
+        if not done:
+            forget(ranks)  # else finished graphs are still read from it
+        ranks = live = fresh
         if tolerance is None:
-            ranks = cut(fresh.drop("old")) if step % every == 0 else fresh.drop("old")
             continue
-        fresh = cut(fresh)
-        ranks = fresh.drop("old")
         moved = fresh.groupBy("graph", "n").agg(F.sum(F.abs(F.col("pagerank") - F.col("old"))).alias("change"))
-        if moved.filter(F.col("change") >= F.col("n") * tolerance).isEmpty():
+        moved = written(moved.select("graph", (F.col("change") >= F.col("n") * tolerance).alias("open")))
+        told = moved.groupBy("open").count().collect()
+        if not any(r["open"] for r in told):
             break
-    return ranks.select("graph", "id", "pagerank")
+        if len(told) > 1:
+            still = moved.filter("open").select("graph")
+            done.append(fresh.join(still, "graph", "left_anti"))
+            live, links = fresh.join(still, "graph", "left_semi"), share.join(still, "graph", "left_semi")
+    found = live.select("graph", "id", "pagerank")
+    for part in done:
+        found = found.unionByName(part.select("graph", "id", "pagerank"))
+    return found

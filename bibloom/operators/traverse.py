@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibloom.functions.storage import cut
+from bibloom.functions.storage import cut, forget, written
 
 FORWARD_SHARE = 0.35
 
@@ -63,22 +63,67 @@ def traverse(seeds: DataFrame, edges: DataFrame, backward: int = 2, forward: int
             near = frontier.select("seed_id", F.col("paper_id").alias("at")).join(step[way], "at").groupBy("seed_id", F.col("next").alias("paper_id")).agg(F.min("seq").alias("seq"))
             fresh = near.join(known.select("seed_id", "paper_id"), ["seed_id", "paper_id"], "left_anti").join(left, "seed_id")
             order = Window.partitionBy("seed_id").orderBy("seq", "paper_id")
-            fresh = fresh.withColumn("r", F.row_number().over(order)).filter("r <= room")
+            # the constant lets every task keep max_papers rows a seed at most before rows meet; the seed's own room then cuts exactly
+            fresh = fresh.withColumn("r", F.row_number().over(order)).filter((F.col("r") <= max_papers) & (F.col("r") <= F.col("room")))
             fresh = fresh.select("seed_id", "paper_id", F.lit(way).alias("direction"), F.lit(depth + 1).alias("depth"), (F.col("held") + F.col("r") - 1).alias("place"))
             known = cut(known.unionByName(fresh))
     return known
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """A table (paper_id, component) of all ends of edges (source, target): the smallest id that each is connected with.
+
+    Contraction: every root hangs on the neighbour that comes first in a hashed order if that comes before itself,
+    pointers jump until they reach a root, and edges between roots remain. The hashed order keeps chains short, so
+    a third of a chain's roots is left after a round, whatever its ids.
+    """
+    both = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
+    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    links = written(both.filter("u <> v").distinct())
+    labels = written(both.select("u").distinct().select(F.col("u").alias("paper_id"), F.col("u").alias("root")))
+    turn = 0
+    while not links.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        least = links.groupBy("u").agg(F.min(order("v")).alias("first"))
+        up = written(least.select(F.col("u").alias("child"), F.least(F.col("first"), order("u"))["id"].alias("parent")))
+        while True:
+            above = up.select(F.col("child").alias("parent"), F.col("parent").alias("beyond"))
+            higher = written(up.join(above, "parent").select("child", F.col("beyond").alias("parent"), (F.col("beyond") != F.col("parent")).alias("moved")))
+            forget(up)
+            up = higher.select("child", "parent")
+            if higher.filter("moved").isEmpty():
+                break
+        end = lambda c: up.select(F.col("child").alias(c), F.col("parent").alias(f"{c}_root"))  # noqa: B023, E731
+        fewer = written(links.join(end("u"), "u").join(end("v"), "v").filter("u_root <> v_root").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct())
+        moved = written(labels.join(up.select(F.col("child").alias("root"), F.col("parent").alias("top")), "root", "left").select("paper_id", F.coalesce("top", "root").alias("root")))
+        forget(links, labels, up)
+        links, labels, turn = fewer, moved, turn + 1
+    least = labels.groupBy("root").agg(F.min("paper_id").alias("component"))
+    found = written(labels.join(written(least), "root").select("paper_id", "component"))
+    forget(links, labels)
+    return found
+
+
 def seed_component(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(seed_id, paper_id): everything connected with a seed, whatever the direction."""
-    around = cut(edges.select(F.col("source").alias("at"), F.col("target").alias("next")).unionByName(edges.select(F.col("target").alias("at"), F.col("source").alias("next"))).distinct())
-    known = cut(seeds.select("seed_id").distinct().select("seed_id", _itself()))
-    frontier = known
-    while not frontier.isEmpty():
-        near = frontier.select("seed_id", F.col("paper_id").alias("at")).join(around, "at").select("seed_id", F.col("next").alias("paper_id")).distinct()
-        frontier = cut(near.join(known, ["seed_id", "paper_id"], "left_anti"))
-        known = cut(known.unionByName(frontier))
-    return known
+    """(seed_id, paper_id): everything connected with a seed, whatever the direction. As many rows as seeds times their components; see component_summary."""
+    held = components(edges)
+    own = _seeds_in(seeds, held)
+    around = own.join(held, "component").select("seed_id", "paper_id")
+    return around.unionByName(own.filter("lone").select("seed_id", F.col("component").alias("paper_id")))
+
+
+def _seeds_in(seeds: DataFrame, held: DataFrame) -> DataFrame:
+    """(seed_id, component, lone): lone seeds have no edge."""
+    joined = seeds.select("seed_id").distinct().join(held.withColumnRenamed("paper_id", "seed_id"), "seed_id", "left")
+    return joined.select("seed_id", F.coalesce("component", "seed_id").alias("component"), F.col("component").isNull().alias("lone"))
+
+
+def component_summary(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed_id, n, smallest) of each seed's component, which is counted once however many seeds it has."""
+    held = components(edges)
+    sizes = held.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    joined = _seeds_in(seeds, held).join(sizes, "component", "left")
+    return joined.select("seed_id", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.col("component").alias("smallest"))
 
 
 def commit_edges(raw: DataFrame, aliases: DataFrame) -> DataFrame:

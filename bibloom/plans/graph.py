@@ -67,6 +67,20 @@ def _rank_sql(nodes: str, links: str, iterations: int) -> str:
     return ", ".join(out)
 
 
+def _converged_sql(nodes: str, links: str) -> str:
+    """The same by recursion, each graph until its summed change is below n * 1e-6 or for 100 steps; rlast has the ranks."""
+    return f"""nodes AS ({nodes}), links AS ({links}), sizes AS (SELECT graph, count(*)::DOUBLE AS n FROM nodes GROUP BY graph),
+totals AS (SELECT graph, s, sum(w) AS total FROM links GROUP BY graph, s),
+parts AS MATERIALIZED (SELECT l.graph, l.s, l.t, w / total AS p FROM links l JOIN totals x ON x.graph = l.graph AND x.s = l.s),
+start AS MATERIALIZED (SELECT v.graph, v.id, n, x.s IS NULL AS loose FROM nodes v JOIN sizes z ON z.graph = v.graph LEFT JOIN totals x ON x.graph = v.graph AND x.s = v.id),
+steps(step, graph, id, n, loose, pr, change) AS (SELECT 0, graph, id, n, loose, 1 / n, 1e300::DOUBLE FROM start UNION ALL
+    SELECT step, graph, id, n, loose, fresh, sum(abs(fresh - pr)) OVER (PARTITION BY graph) FROM (
+        SELECT k.step + 1 AS step, k.graph, k.id, k.n, k.loose, k.pr, 0.85::DOUBLE * (coalesce(g.gain, 0) + (sum(CASE WHEN k.loose THEN k.pr ELSE 0 END) OVER (PARTITION BY k.graph)) / k.n) + 0.15::DOUBLE / k.n AS fresh
+        FROM steps k LEFT JOIN (SELECT p.graph, p.t AS id, sum(p.p * r.pr) AS gain FROM parts p JOIN steps r ON r.graph = p.graph AND r.id = p.s GROUP BY p.graph, p.t) g ON g.graph = k.graph AND g.id = k.id
+        WHERE k.step < 100 AND k.change >= k.n * 1e-6::DOUBLE) y),
+rlast AS (SELECT graph, id, pr FROM steps QUALIFY row_number() OVER (PARTITION BY graph, id ORDER BY step DESC) = 1)"""
+
+
 def _local(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each seed's papers within two references, and the edges among them."""
     edges = plain_edges(spark, sf_dir)
@@ -137,8 +151,7 @@ FROM ranked a JOIN ranked b ON b.seed_id = a.seed_id AND b.paper_id = a.paper_id
 
 def f12(spark: SparkSession, sf_dir: str, hops: int = 3) -> DataFrame:
     edges = plain_edges(spark, sf_dir)
-    found = paths.simple_paths(table(spark, sf_dir, "seeds").select("seed_id"), edges, hops)
-    best = paths.rank_paths(found)
+    best = paths.best_paths(table(spark, sf_dir, "seeds").select("seed_id"), edges, hops)
     return best.select("seed_id", "rank", "path", "path_length", F.round("average_confidence", 9).alias("average_confidence"), "score")
 
 
@@ -201,8 +214,7 @@ F1_SQL = with_recipes(
 
 
 def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = traverse.seed_component(table(spark, sf_dir, "seeds").select("seed_id"), plain_edges(spark, sf_dir))
-    return found.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n"), F.min("paper_id").alias("smallest"))
+    return traverse.component_summary(table(spark, sf_dir, "seeds").select("seed_id"), plain_edges(spark, sf_dir))
 
 
 F4_SQL = with_recipes("""WITH RECURSIVE around AS (SELECT source_paper_id AS a, target_paper_id AS b FROM edges UNION SELECT target_paper_id, source_paper_id FROM edges),
@@ -270,6 +282,14 @@ FROM edges e JOIN al a ON a.alias = source_paper_id JOIN al b ON b.alias = targe
 C11_SQL = C11_SQL.replace("WITH papers", with_recipes("", "edges").strip() + ", papers", 1)
 
 
+_CONVERGED = _converged_sql(LOCAL_NODES, LOCAL_LINKS)
+_F8_F9_F10 = {k: q.replace(_rank_sql(LOCAL_NODES, LOCAL_LINKS, ITERATIONS), _CONVERGED).replace(f"FROM r{ITERATIONS} r", "FROM rlast r").replace("WITH pairs", "WITH RECURSIVE pairs", 1) for k, q in (("f8_foundational", F8_SQL), ("f9_variants", F9_SQL), ("f10_rank_correlation", F10_SQL))}
+F7_WHOLE_SQL = with_recipes(
+    f"WITH {WEIGHTED}, " + _converged_sql("SELECT 'all' AS graph, paper_id AS id FROM papers", "SELECT 'all' AS graph, source_paper_id AS s, target_paper_id AS t, final_weight AS w FROM final") + " SELECT id AS paper_id, round(pr, 10) AS pagerank FROM rlast",
+    "edges", "resolutions", "papers",
+).replace("WITH pairs", "WITH RECURSIVE pairs", 1)
+
+
 def queries() -> dict:
     return {
         "f1_traverse": f1, "f4_seed_component": f4, "f5_vertices": f5, "f6_weight_edges": f6, "f7_pagerank": f7, "f8_foundational": f8,
@@ -290,6 +310,7 @@ def oracle_sql() -> dict:
         "f6_weight_edges": with_recipes(f"WITH {WEIGHTED} SELECT source_paper_id, target_paper_id, round(n_score, 9) AS n_score, round(base_weight, 9) AS base_weight, round(final_weight, 9) AS final_weight FROM final", "edges", "resolutions"),
         "f7_pagerank": with_recipes(f"WITH {WEIGHTED}, {rank_all} SELECT id AS paper_id, round(pr, 10) AS pagerank FROM r{ITERATIONS}", "edges", "resolutions", "papers"),
         "f8_foundational": F8_SQL, "f9_variants": F9_SQL, "f10_rank_correlation": F10_SQL, "f11_simple_paths": F11_SQL, "f12_rank_paths": F12_SQL,
+        "f7_pagerank_whole": F7_WHOLE_SQL, **{f"{k}_whole": q for k, q in _F8_F9_F10.items()},
         "f11_simple_paths_whole": F11_WHOLE_SQL, "f12_rank_paths_whole": F12_WHOLE_SQL,
         "d1_degrees": with_recipes("SELECT p.paper_id, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree FROM papers p LEFT JOIN (SELECT source_paper_id AS a, count(*) AS o FROM edges GROUP BY 1) ON a = p.paper_id LEFT JOIN (SELECT target_paper_id AS b, count(*) AS i FROM edges GROUP BY 1) ON b = p.paper_id", "papers", "edges"),
         "d3_graph_health": D3_SQL, "c10_duplicate_works": C10_SQL, "c11_commit_edges": C11_SQL,

@@ -163,7 +163,7 @@ FROM papers p LEFT JOIN b ON b.paper_id = p.paper_id LEFT JOIN a ON a.paper_id =
 
 def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return overlap.overlap(overlap.grams(docs, "doc_id", "text"), overlap.grams(marks, "item_id", "text"), "doc_id")
+    return overlap.text_overlap(docs, marks, "doc_id", "item_id")
 
 
 _WORDS = r"""list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '(?m)^\s*\|.*$', ' ', 'g'), '`[^`]*`', ' ', 'g'), 'https?://\S+', ' ', 'g'), '[^A-Za-z0-9 ]', ' ', 'g')), ' +'), lambda w: w <> '')"""
