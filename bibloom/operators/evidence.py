@@ -88,20 +88,21 @@ def _id(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def candidates(texts: DataFrame, patterns: Sequence[Pattern] = POPULATION, ignored: Sequence[str] = IGNORED) -> DataFrame:
+def candidates(texts: DataFrame, patterns: Sequence[Pattern] = POPULATION, ignored: Sequence[str] = IGNORED, places: Sequence[str] = ()) -> DataFrame:
     """Every study-size candidate of texts (paper_id, section, text): one row each, in extraction order.
 
     A number inside an ignored span (a year, a percentage, ...) is none; the same number may
     give candidates of several types. ``patterns`` and ``ignored`` are tables of the caller's
-    own, a few dozen rows that become part of the plan.
+    own, a few dozen rows that become part of the plan. ``places`` are columns that tell where in
+    a paper a text stands; they are kept and take part in the candidate's id.
     """
-    parts = texts.filter("text is not null and text <> ''").select("paper_id", "section", F.posexplode(sentences(F.col("text"))).alias("sentence_no", "sentence"))
+    parts = texts.filter("text is not null and text <> ''").select("paper_id", "section", *places, F.posexplode(sentences(F.col("text"))).alias("sentence_no", "sentence"))
     numbered = parts.filter(F.col("sentence").rlike("[0-9]"))
-    rows = numbered.select("paper_id", "section", "sentence_no", "sentence", F.expr(f"inline({sentence_candidates('sentence', patterns, ignored)})"))
+    rows = numbered.select("paper_id", "section", *places, "sentence_no", "sentence", F.expr(f"inline({sentence_candidates('sentence', patterns, ignored)})"))
     kept = rows.withColumn("value", _value(F.col("m.number"))).filter((F.col("value") > 0) & (F.col("value") <= MOST))
     return kept.select(
-        _id("paper_id", "section", "sentence_no", "match_no").alias("candidate_id"),
-        "paper_id", "section", "sentence_no", "match_no", F.trim("sentence").alias("sentence"), F.col("m.value").alias("raw_text"),
+        _id("paper_id", "section", *places, "sentence_no", "match_no").alias("candidate_id"),
+        "paper_id", "section", *places, "sentence_no", "match_no", F.trim("sentence").alias("sentence"), F.col("m.value").alias("raw_text"),
         F.col("m.start").alias("start_char"), F.col("m.end").alias("end_char"), F.col("value").cast("int").alias("value"),
         F.col("m.type").alias("semantic_type"), F.round(F.least(F.lit(1.0), F.col("m.weight") + F.when(F.lower("section").isin("abstract", "methods"), 0.1).otherwise(0.0)), 6).alias("confidence"),
     )
@@ -131,10 +132,13 @@ def resolve_in_row(patterns: Sequence[Pattern] = POPULATION, ignored: Sequence[s
     return F.expr(bound(ranked, "r", bound("array_min(r)", "b", answer)))
 
 
-def resolve(found: DataFrame, papers: DataFrame) -> DataFrame:
-    """One row per paper: the best candidate, and whether a rival of nearly its score differs by over a tenth."""
+def resolve(found: DataFrame, papers: DataFrame, places: Sequence[str] = ()) -> DataFrame:
+    """One row per paper: the best candidate, and whether a rival of nearly its score differs by over a tenth.
+
+    Equals go by extraction order: ``places``, then sentence and match.
+    """
     held = found.filter("confidence > 0.4").withColumn("score", _score(F.col("confidence"), F.col("semantic_type")))
-    order = Window.partitionBy("paper_id").orderBy(F.col("score").desc(), F.col("confidence").desc(), "sentence_no", "match_no")
+    order = Window.partitionBy("paper_id").orderBy(F.col("score").desc(), F.col("confidence").desc(), *places, "sentence_no", "match_no")
     best = held.select(F.struct(*held.columns).alias("row"), F.row_number().over(order).alias("place"), "paper_id").filter("place = 1").select("row.*")
     rivals = held.select("paper_id", F.col("score").alias("s"), F.col("value").alias("v")).join(best.select("paper_id", "score", "value"), "paper_id")
     unclear = rivals.filter("s > score * 0.9D and abs(v - value) > value * 0.1D").select("paper_id").distinct().withColumn("unclear", F.lit(True))

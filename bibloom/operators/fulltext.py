@@ -72,11 +72,9 @@ def recovered(resolutions: DataFrame, sections: DataFrame, most: int = PAPER_MOS
     """
     wanted = sections.join(resolutions.filter("status = 'missing'").select("paper_id"), "paper_id", "left_semi")
     read = ledger.running_budget(wanted, "paper_id", ["pos"], F.length("paragraph"), most)
-    found = evidence.candidates(read.select(F.concat_ws("#", "paper_id", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("paper_id"), "section", F.col("paragraph").alias("text")))
     # extraction order runs over a paper's paragraphs
-    place = F.substring_index("paper_id", "#", -1).cast("long")
-    found = found.filter(about_people(F.col("sentence"))).withColumn("sentence_no", place * 100_000 + F.col("sentence_no")).withColumn("paper_id", F.substring_index("paper_id", "#", 1))
-    fresh = evidence.resolve(found, wanted.select("paper_id").distinct()).filter("status <> 'missing'")
+    found = evidence.candidates(read.select("paper_id", "section", "pos", F.col("paragraph").alias("text")), places=["pos"])
+    fresh = evidence.resolve(found.filter(about_people(F.col("sentence"))), wanted.select("paper_id").distinct(), ["pos"]).filter("status <> 'missing'")
     fields = ("n_eff", "semantic_type", "confidence", "status")
     renamed = fresh.select("paper_id", *[F.col(c).alias(f"{c}_fresh") for c in fields])
     joined = resolutions.join(renamed, "paper_id", "left").withColumn("from_full_text", F.col("status_fresh").isNotNull())

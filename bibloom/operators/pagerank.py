@@ -21,14 +21,14 @@ def pagerank(
     or after ``iterations`` steps. tolerance None runs all iterations. What a hot target gains is
     summed on the map side before the shuffle. Each step's ranks are a table, and the one before goes.
     """
-    weighted = edges.select("graph", "source", "target", "weight")
+    weighted = written(edges.select("graph", "source", "target", "weight"))
     total = written(weighted.groupBy("graph", "source").agg(F.sum("weight").alias("total")).filter("total > 0"))
     share = written(weighted.join(total, ["graph", "source"]).select("graph", "source", "target", (F.col("weight") / F.col("total")).alias("p")))
     once = vertices.select("graph", "id").distinct()
     sizes = once.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
     linked = total.select("graph", F.col("source").alias("id"), F.lit(True).alias("linked"))
     ranks = written(once.join(linked, ["graph", "id"], "left").join(sizes, "graph").withColumn("pagerank", 1.0 / F.col("n")).withColumn("old", F.lit(None).cast("double")))
-    forget(total)
+    forget(total, weighted)
     live, links, done = ranks, share, []
     for step in range(1, iterations + 1):
         loose = live.filter("linked is null").groupBy("graph").agg(F.sum("pagerank").alias("loose"))

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibloom.functions.storage import shared_folder
-from bibloom.operators import traverse, weights
+from bibloom.operators import fulltext, traverse, weights
+from bibloom.plans import fulltext as fulltext_queries
 from bibloom.plans import records as record_queries
+from bibloom.plans import text as text_queries
 from bibloom.plans import views as view_queries
 from bibloom.plans.graph import F1_SQL, plain_edges
 from bibloom.sources import dumps, exports
 from bibloom.sources.recipes import run, table, with_recipes
+from bibloom.streaming import papers
 
 
 def _dump(spark: SparkSession, sf_dir: str, provider: str) -> str:
@@ -78,8 +81,8 @@ SELECT 'openalex' AS provider, n + torn AS lines, torn AS broken, 0::BIGINT AS p
 
 def _journal_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each journal's papers, titles with signs that XML escapes, and the edges among them."""
-    papers = table(spark, sf_dir, "papers").withColumn("title", F.concat("title", F.lit(' <"&>')))
-    v = weights.build_vertices(papers, table(spark, sf_dir, "resolutions"))
+    titled = table(spark, sf_dir, "papers").withColumn("title", F.concat("title", F.lit(' <"&>')))
+    v = weights.build_vertices(titled, table(spark, sf_dir, "resolutions"))
     inside = run(spark, sf_dir, "SELECT a.journal, source_paper_id AS source, target_paper_id AS target, CASE WHEN e.seq % 3 > 0 THEN round(e.confidence, 2) END AS weight, round(e.confidence, 2) AS confidence FROM edges e JOIN papers a ON a.paper_id = source_paper_id JOIN papers b ON b.paper_id = target_paper_id AND b.journal = a.journal", "edges", "papers")
     return v, inside
 
@@ -120,10 +123,43 @@ SELECT n.seed_id, nodes, coalesce(links, []) AS links FROM n LEFT JOIN l ON l.se
 )
 
 
+# --- texts: ids with any sign, and texts as they arrive
+
+
+def c5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text recovery of papers whose ids hold the signs that keys are often glued with."""
+    named = lambda df: df.withColumn("paper_id", F.concat(F.lit("10.1/a#b|"), "paper_id", F.lit(":c")))
+    had = named(table(spark, sf_dir, "resolutions").withColumn("semantic_type", F.lit(None).cast("string")))
+    found = fulltext.recovered(had, named(fulltext_queries._sections(spark, sf_dir)))
+    return found.select("paper_id", "n_eff", "semantic_type", F.round("confidence", 6).alias("confidence"), "status", "from_full_text")
+
+
+ARRIVING = """SELECT concat('P', p_partkey) AS paper_id, CASE WHEN p_partkey % 2 = 0 THEN 'methods' ELSE 'full_text' END AS section,
+    CASE p_partkey % 5 WHEN 0 THEN concat('A total of ', 30 + p_partkey % 900, ' patients were randomized. Then ', p_size, ' women were followed for a year!')
+    WHEN 1 THEN concat('We screened ', 50 + p_size, ' participants. The sample size was N=', 50 + p_size, ' in 2019.') WHEN 2 THEN 'No size is told here.' WHEN 3 THEN ''
+    ELSE concat('A cohort of ', 40 + p_partkey % 777, ' adult subjects; ', p_size, ' patients completed treatment.') END AS text FROM part"""
+
+
+def s1_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Study sizes of texts that arrive as files, each resolved inside its row."""
+    parts = papers.arriving(spark, sf_dir, "part.parquet")
+    view = f"arriving_{uuid.uuid4().hex}"
+    parts.createOrReplaceTempView(view)
+    texts = spark.sql(ARRIVING.replace("FROM part", f"FROM {view}"))
+    found = papers.resolve(texts, f"resolved-{uuid.uuid4().hex}")
+    return found.select("paper_id", "n_eff", "semantic_type", "confidence", "status", "selected_candidate_id")
+
+
+S1_SQL = f"""WITH texts AS ({ARRIVING}), papers AS (SELECT paper_id FROM texts), {text_queries._RESOLVED.replace("FROM m\n", "FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, section, sentence_no ORDER BY pattern_no, k) - 1 AS match_no FROM m) n\n")}
+SELECT p.paper_id, b.value AS n_eff, b.semantic_type, coalesce(b.confidence, 0.0::DOUBLE) AS confidence, CASE WHEN b.value IS NULL THEN 'missing' WHEN v.paper_id IS NOT NULL THEN 'ambiguous' ELSE 'resolved' END AS status,
+    CASE WHEN b.value IS NOT NULL THEN sha256(concat_ws('|', b.paper_id, b.section, b.sentence_no, b.match_no)) END AS selected_candidate_id FROM papers p LEFT JOIN b ON b.paper_id = p.paper_id LEFT JOIN v ON v.paper_id = p.paper_id"""
+
+
 def queries() -> dict:
     return {
         "a1_openalex_dump": a1_dump, "a2_crossref_dump": a2_dump, "a3_europe_pmc_dump": a3_dump, "a4_dump_references": a4_dump, "a_rejected_lines": a_rejected,
         "a12_walk_documents": a12_documents, "a14_graphml_document": a14_document,
+        "c5_recovery_of_any_id": c5_ids, "s1_arriving_resolutions": s1_resolutions,
     }
 
 
@@ -131,4 +167,5 @@ def oracle_sql() -> dict:
     return {
         "a1_openalex_dump": record_queries.A1_SQL, "a2_crossref_dump": A2_DUMP_SQL, "a3_europe_pmc_dump": view_queries.A3_SQL, "a4_dump_references": A4_DUMP_SQL, "a_rejected_lines": REJECTED_SQL,
         "a12_walk_documents": A12_DOCUMENTS_SQL, "a14_graphml_document": A14_DOCUMENT_SQL,
+        "c5_recovery_of_any_id": f"SELECT concat('10.1/a#b|', paper_id, ':c') AS paper_id, * EXCLUDE (paper_id) FROM ({fulltext_queries.C5_SQL}) x", "s1_arriving_resolutions": S1_SQL,
     }
