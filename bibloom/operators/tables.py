@@ -140,6 +140,26 @@ def run_warnings(runs: DataFrame) -> DataFrame:
     return runs.select("run", F.array_compact(F.array(*parts)).alias("warnings"))
 
 
+def walk_warnings(runs: DataFrame) -> DataFrame:
+    """(run, seq, warning): what each run had to work around, in a fixed order.
+
+    runs: run, warnings (what the walk and the seed's lookup said), dead_doi (the seed's, where its page is gone),
+    lost_lookups, abstracts_recovered, full_text_recovered, dataset_papers, without_abstract, papers, duplicates_merged.
+    """
+    n = lambda c: F.col(c).cast("string")
+    say = lambda c, *parts: F.when(F.col(c) > 0, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    later = F.array_compact(F.array(
+        F.when(F.col("dead_doi").isNotNull(), F.concat(F.lit("The page of the seed's DOI "), "dead_doi", F.lit(" is gone; its metadata stand."))),
+        say("lost_lookups", n("lost_lookups"), " lookups stayed without an answer; abstracts or full texts may be missing."),
+        say("abstracts_recovered", n("abstracts_recovered"), " abstracts came from another provider."),
+        say("full_text_recovered", n("full_text_recovered"), " papers got their study size from the full text."),
+        say("dataset_papers", F.lit("Dataset counts come from abstracts and weigh no ranking.")),
+        say("without_abstract", n("without_abstract"), " of ", n("papers"), " papers have no abstract."),
+        say("duplicates_merged", n("duplicates_merged"), " duplicate records were merged before the paper limit."),
+    ))
+    return runs.select("run", F.posexplode(F.concat(F.coalesce("warnings", F.array().cast("array<string>")), later)).alias("seq", "warning"))
+
+
 def completeness(papers: DataFrame) -> DataFrame:
     """One row: shares of resolved papers (wanted_doi, doi, title, year, authors, journal) with each field; a placeholder title is none."""
     rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)

@@ -37,6 +37,25 @@ def paper_rows(papers: DataFrame, resolutions: DataFrame, edges: DataFrame, rank
     )
 
 
+PAPER_COLUMNS = (
+    "paper_id", "title", "authors", "year", "journal", "doi", "pmid", "n_eff", "population_status", "population_confidence", "research_domain", "research_field",
+    "dataset_examples", "dataset_unit", "dataset_kind", "dataset_status", "dataset_confidence", "dataset_evidence", "cited_by_in_graph", "references_in_graph", "foundational_rank", "is_seed",
+)
+
+
+def paper_table(papers: DataFrame, resolutions: DataFrame, datasets: DataFrame, edges: DataFrame, ranks: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Every column of the paper table, as text. datasets: paper_id, value, unit, kind, status, confidence, evidence; seeds: paper_id."""
+    said = datasets.select(
+        "paper_id", text(F.col("value")).alias("dataset_examples"), text(F.col("unit")).alias("dataset_unit"), text(F.col("kind")).alias("dataset_kind"),
+        text(F.col("status")).alias("dataset_status"), fixed(F.col("confidence"), 2).alias("dataset_confidence"), text(F.col("evidence")).alias("dataset_evidence"),
+    )
+    own = papers.select("paper_id", *[text(F.col(c)).alias(c) for c in ("doi", "pmid", "research_domain", "research_field")])
+    wide = paper_rows(papers, resolutions, edges, ranks).join(own, "paper_id").join(said, "paper_id", "left")
+    wide = wide.join(seeds.select("paper_id", F.lit("yes").alias("is_seed")).distinct(), "paper_id", "left")
+    fill = {c: F.coalesce(c, F.lit("no" if c == "is_seed" else "")) for c in PAPER_COLUMNS if c == "is_seed" or c.startswith("dataset_")}
+    return wide.withColumns(fill).select(*PAPER_COLUMNS)
+
+
 def edge_rows(edges: DataFrame, papers: DataFrame) -> DataFrame:
     title = lambda side: papers.select(F.col("paper_id").alias(f"{side}_paper_id"), F.col("title").alias(f"{side}_title"))
     wide = edges.join(title("source"), "source_paper_id", "left").join(title("target"), "target_paper_id", "left")
