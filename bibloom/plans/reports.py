@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,12 @@ PATHS = f"SELECT seed_id, rank, seed_title, title, link AS score FROM ({WALK}) w
 
 
 def a15_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda q: written(run(spark, sf_dir, q, *_NAMES))
+    walk, view = written(run(spark, sf_dir, WALK, *_NAMES)), f"walk_{uuid.uuid4().hex}"
+    walk.createOrReplaceTempView(view)
+    t = lambda q: written(run(spark, sf_dir, q.replace(f"({WALK})", view), *(_NAMES if q == HEADS else ("resolutions",))))
     names = F.when(F.col("n_people") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n_people", F.lit(1))), lambda i: F.concat(F.lit("Author "), i))).otherwise(F.array().cast("array<string>"))
     heads = t(HEADS).withColumn("authors", names)
     paths = t(PATHS).withColumn("titles", F.array("seed_title", "title"))
-    walk = t(WALK)
     return report.report_lines(heads, walk, walk.filter("rank % 2 = 0"), t(RANKED), t(SIZES), t(DATASETS), paths)
 
 
