@@ -47,12 +47,12 @@ def pagerank(
         if tolerance is None:
             continue
         moved = fresh.groupBy("graph", "n").agg(F.sum(F.abs(F.col("pagerank") - F.col("old"))).alias("change"))
-        moved = written(moved.select("graph", (F.col("change") >= F.col("n") * tolerance).alias("open")))
+        moved = moved.select("graph", (F.col("change") >= F.col("n") * tolerance).alias("open"))
         told = moved.groupBy("open").count().collect()
         if not any(r["open"] for r in told):
             break
         if len(told) > 1:
-            still = moved.filter("open").select("graph")
+            still = written(moved.filter("open").select("graph"))
             done.append(fresh.join(still, "graph", "left_anti"))
             live, links = fresh.join(still, "graph", "left_semi"), share.join(still, "graph", "left_semi")
     found = live.select("graph", "id", "pagerank")
