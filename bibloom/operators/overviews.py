@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibloom.functions.spans import PLACES, literal, places
 from bibloom.operators.evaluate import detection_scores
+from bibloom.operators.tables import plain_prose
 
 STATUSES = ("resolved", "ambiguous", "missing", "low_confidence", "not_applicable")
 UNKNOWN_TITLE = "Unknown Title"
@@ -119,3 +122,56 @@ def page(rows: DataFrame, by: str, n: int, descending: bool = False) -> DataFram
     value = F.lower(F.coalesce("title", F.lit(""))) if by == "title" else F.coalesce(F.col(by), F.lit(0))
     order = (value.desc() if descending else value.asc(), F.col("paper_id"))
     return rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # n rows
+
+
+def graph_page(vertices: DataFrame, edges: DataFrame, years: tuple[int, int], hide_missing: bool, technical_seed: bool, sure: bool, least_confidence: float, least_weight: float) -> tuple[DataFrame, DataFrame]:
+    """Papers of a graph page and the edges among them.
+
+    vertices: paper_id, year (an unknown one passes), n_eff, technical_value, metadata_confidence. Under a seed in
+    computer science (``technical_seed``) evidence means a dataset count instead of a study size; ``sure`` asks for
+    metadata of 0.75 or more.
+    """
+    value = "technical_value" if technical_seed else "n_eff"
+    kept = vertices.filter(F.col("year").isNull() | F.col("year").between(*years))
+    kept = kept.filter(F.col(value).isNotNull()) if hide_missing else kept
+    kept = kept.filter(F.coalesce("metadata_confidence", F.lit(0.0)) >= 0.75) if sure else kept
+    strong = edges.filter((F.coalesce("confidence", F.lit(0.0)) >= least_confidence) & (F.coalesce("final_weight", F.lit(0.0)) >= least_weight))
+    for side in ("source_paper_id", "target_paper_id"):
+        strong = strong.join(kept.select(F.col("paper_id").alias(side)).distinct(), side, "left_semi")
+    return kept, strong
+
+
+def rescored(outcomes: DataFrame, decisions: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """Two rows of right readings (vision, text, n) over the stated values of some stages: by the key as it is, and without those found ambiguous.
+
+    outcomes: paper_id, stage, vision_outcome, text_outcome; decisions: paper_id, stage, decision.
+    """
+    unclear = decisions.filter("decision = 'ambiguous'").select("paper_id", "stage").distinct().withColumn("unclear", F.lit(True))
+    scored = outcomes.filter((F.col("vision_outcome") != "not_stated") & F.col("stage").isin(*stages)).join(unclear, ["paper_id", "stage"], "left")
+    keys = F.when(F.col("unclear"), F.array(F.lit("original_key"))).otherwise(F.array(F.lit("original_key"), F.lit("ambiguous_unscored")))
+    right = lambda c: F.count_if(F.col(c) == "right")
+    return scored.withColumn("scoring", F.explode(keys)).groupBy("scoring").agg(right("vision_outcome").alias("vision"), right("text_outcome").alias("text"), F.count(F.lit(1)).alias("n"))
+
+
+def reading_times(rows: DataFrame) -> DataFrame:
+    """One row over rows (seconds): the upper median, found by its place in an order of distinct values and their counts, and the greatest."""
+    counts = rows.filter("seconds is not null").groupBy("seconds").agg(F.count(F.lit(1)).alias("n"))
+    both = counts.agg(F.sum("n").alias("all"), F.max("seconds").alias("most"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("seconds")))  # readings have few distinct times, to the hundredth of a second
+    middle = upto.join(both).filter(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("seconds").alias("median"))
+    return middle.join(both.select("most"))
+
+
+def first_hits(texts: DataFrame, key: str, patterns: dict[str, tuple[str, str]], n: int = 8) -> DataFrame:
+    """(pattern, tag, place, key, line, snippet): of each pattern the first n matches in the order of the texts (key, text), outside code and link targets."""
+    plain = texts.select(key, plain_prose(F.col("text")).alias("plain"))
+    none = f"cast(array() AS {PLACES})"
+    of = lambda name, p: f"struct({literal(name)} AS pattern, {literal(p[0])} AS tag, slice({places('plain', literal(p[1]))}, 1, {n}) AS found)"
+    rows = plain.select(key, "plain", F.expr(f"explode(array({', '.join(of(name, p) for name, p in patterns.items())}))").alias("c"))
+    hits = rows.select(key, "plain", "c.pattern", "c.tag", F.explode(F.coalesce("c.found", F.expr(none))).alias("m"))
+    told = hits.select(
+        "pattern", "tag", key, F.col("m.start").alias("start"), F.size(F.split(F.substring("plain", F.lit(1), F.col("m.start")), "\n", -1)).alias("line"),
+        F.substring(F.trim(F.regexp_replace("m.value", r"\s+", " ")), 1, 70).alias("snippet"),
+    )
+    order = Window.partitionBy("pattern").orderBy(key, "start")
+    return told.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).drop("start")

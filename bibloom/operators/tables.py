@@ -198,11 +198,16 @@ def changed_sets(before: DataFrame, after: DataFrame, key: str, columns: list[st
     return count(before, after, "lost").join(count(after, before, "gained"), key, "full").na.fill(0, ["lost", "gained"])
 
 
-def pattern_census(texts: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
-    """(pattern, tag, hits, texts) of texts (text): matches outside code fences, inline code and link targets."""
-    plain = F.coalesce("text", F.lit(""))
+def plain_prose(text: Column) -> Column:
+    """A text without code fences, inline code and link targets; null counts as empty."""
+    plain = F.coalesce(text, F.lit(""))
     for p, to in ((r"(?s)```.*?```", " "), ("`[^`]*`", " "), (r"\]\([^)]*\)", "]")):
         plain = F.regexp_replace(plain, p, to)
-    counted = texts.select(plain.alias("plain")).select(*[F.regexp_count("plain", F.lit(p)).alias(name) for name, (_, p) in patterns.items()])
+    return plain
+
+
+def pattern_census(texts: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """(pattern, tag, hits, texts) of texts (text): matches outside code fences, inline code and link targets."""
+    counted = texts.select(plain_prose(F.col("text")).alias("plain")).select(*[F.regexp_count("plain", F.lit(p)).alias(name) for name, (_, p) in patterns.items()])
     long = counted.select(F.explode(F.array(*[F.struct(F.lit(name).alias("pattern"), F.lit(tag).alias("tag"), F.col(name).cast("long").alias("k")) for name, (tag, _) in patterns.items()])).alias("c"))
     return long.groupBy("c.pattern", "c.tag").agg(F.sum("c.k").alias("hits"), F.count_if(F.col("c.k") > 0).alias("texts"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibloom.operators import overviews
+from bibloom.operators import overviews, review
+from bibloom.plans import figures
+from bibloom.plans import tables as table_queries
 from bibloom.plans.reports import WALK
 from bibloom.sources.recipes import run, table, with_recipes
 
@@ -114,9 +116,47 @@ B16_PAGES_SQL = with_recipes(f"WITH r AS ({SORTED}) " + " UNION ALL ".join(
 ), *_NAMES)
 
 
+PAGE = "SELECT p.paper_id, year, n_eff, CASE WHEN p.seq % 3 > 0 THEN p.seq END AS technical_value, CASE WHEN p.seq % 5 > 0 THEN CAST(p.seq % 10 AS DOUBLE) / CAST(10 AS DOUBLE) END AS metadata_confidence FROM papers p LEFT JOIN resolutions r ON r.paper_id = p.paper_id"
+PAGE_EDGES = "SELECT source_paper_id, target_paper_id, confidence, CASE WHEN seq % 4 > 0 THEN confidence / 2 END AS final_weight FROM edges"
+
+
+def b14_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a graph page under a seed in computer science, with sure metadata."""
+    _, strong = overviews.graph_page(run(spark, sf_dir, PAGE, "papers", "resolutions"), run(spark, sf_dir, PAGE_EDGES, "edges"), (1975, 2012), True, True, True, 0.92, 0.4)
+    return strong
+
+
+B14_PAGE_SQL = with_recipes(f"""WITH v AS (SELECT paper_id FROM ({PAGE}) x WHERE (year IS NULL OR year BETWEEN 1975 AND 2012) AND technical_value IS NOT NULL AND metadata_confidence >= 0.75)
+SELECT * FROM ({PAGE_EDGES}) e WHERE confidence >= 0.92 AND final_weight >= 0.4 AND source_paper_id IN (SELECT paper_id FROM v) AND target_paper_id IN (SELECT paper_id FROM v)""", "papers", "resolutions", "edges")
+
+
+def d15_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right readings by the answer key, and without the values that the decisions call ambiguous."""
+    decided = run(spark, sf_dir, figures.DECIDED).withColumnRenamed("figure", "paper_id")
+    return overviews.rescored(figures._outcomes(spark, sf_dir), decided, review.DECISIVE)
+
+
+D15_RESCORED_SQL = f"""{figures.D13_SQL[: figures.D13_SQL.index('SELECT stage, count(gold) AS n')].replace('SELECT g.stage,', 'SELECT g.paper_id, g.stage,', 1)},
+u AS (SELECT DISTINCT figure, stage FROM ({figures.DECIDED}) x WHERE decision = 'ambiguous'), s AS (SELECT o.*, u.figure IS NOT NULL AS unclear FROM o LEFT JOIN u ON u.figure = o.paper_id AND u.stage = o.stage WHERE gold IS NOT NULL AND o.stage <> 'screened')
+SELECT 'original_key' AS scoring, count(*) FILTER (vr) AS vision, count(*) FILTER (tr) AS text, count(*) AS n FROM s UNION ALL SELECT 'ambiguous_unscored', count(*) FILTER (vr), count(*) FILTER (tr), count(*) FROM s WHERE NOT unclear"""
+
+
+def d13_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overviews.reading_times(run(spark, sf_dir, "SELECT round(CAST(l_quantity AS DOUBLE) / 7, 2) AS seconds FROM lineitem"))
+
+
+def d18_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight matches of each pattern; line numbers are tested apart from the SQL."""
+    return overviews.first_hits(table(spark, sf_dir, "documents"), "doc_id", table_queries.PATTERNS).drop("line")
+
+
+D18_HITS_SQL = f"WITH p AS (SELECT doc_id, {table_queries._PLAIN} AS plain FROM documents), " + "h AS (" + " UNION ALL ".join(f"SELECT '{n}' AS pattern, '{t}' AS tag, doc_id, unnest(regexp_extract_all(plain, '{x}')) AS v, generate_subscripts(regexp_extract_all(plain, '{x}'), 1) AS k FROM p" for n, (t, x) in table_queries.PATTERNS.items()) + r"""), r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY doc_id, k) AS place FROM h)
+SELECT pattern, tag, place::INTEGER AS place, doc_id, left(trim(regexp_replace(v, '\s+', ' ', 'g')), 70) AS snippet FROM r WHERE place <= 8"""
+
+
 def queries() -> dict:
-    return {"d5_run_overview": d5_runs, "d6_population_counts": d6_counts, "d9_detection_report": d9_report, "d12_completeness_report": d12_report, "d16_influence_report": d16_influence, "c13_catalogue": c13_catalogue, "c18_edges_at": c18_edges, "b16_sorted_pages": b16_pages}
+    return {"d5_run_overview": d5_runs, "d6_population_counts": d6_counts, "d9_detection_report": d9_report, "d12_completeness_report": d12_report, "d16_influence_report": d16_influence, "c13_catalogue": c13_catalogue, "c18_edges_at": c18_edges, "b16_sorted_pages": b16_pages, "b14_graph_page": b14_page, "d13_reading_times": d13_times, "d15_rescored": d15_rescored, "d18_first_hits": d18_hits}
 
 
 def oracle_sql() -> dict:
-    return {"d5_run_overview": D5_RUNS_SQL, "d6_population_counts": D6_COUNTS_SQL, "d9_detection_report": D9_REPORT_SQL, "d12_completeness_report": D12_REPORT_SQL, "d16_influence_report": D16_INFLUENCE_SQL, "c13_catalogue": C13_CATALOGUE_SQL, "c18_edges_at": C18_EDGES_SQL, "b16_sorted_pages": B16_PAGES_SQL}
+    return {"d5_run_overview": D5_RUNS_SQL, "d6_population_counts": D6_COUNTS_SQL, "d9_detection_report": D9_REPORT_SQL, "d12_completeness_report": D12_REPORT_SQL, "d16_influence_report": D16_INFLUENCE_SQL, "c13_catalogue": C13_CATALOGUE_SQL, "c18_edges_at": C18_EDGES_SQL, "b16_sorted_pages": B16_PAGES_SQL, "b14_graph_page": B14_PAGE_SQL, "d13_reading_times": "WITH q AS (SELECT round(CAST(l_quantity AS DOUBLE) / 7, 2) AS s FROM lineitem), o AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n FROM q) SELECT max(s) FILTER (i = n // 2) AS median, max(s) AS most FROM o", "d15_rescored": D15_RESCORED_SQL, "d18_first_hits": D18_HITS_SQL}
