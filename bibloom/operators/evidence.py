@@ -137,14 +137,20 @@ def resolve(found: DataFrame, papers: DataFrame, places: Sequence[str] = ()) ->
 
     Equals go by extraction order: ``places``, then sentence and match.
     """
-    held = found.filter("confidence > 0.4").withColumn("score", _score(F.col("confidence"), F.col("semantic_type")))
-    order = Window.partitionBy("paper_id").orderBy(F.col("score").desc(), F.col("confidence").desc(), *places, "sentence_no", "match_no")
-    best = held.select(F.struct(*held.columns).alias("row"), F.row_number().over(order).alias("place"), "paper_id").filter("place = 1").select("row.*")
-    rivals = held.select("paper_id", F.col("score").alias("s"), F.col("value").alias("v")).join(best.select("paper_id", "score", "value"), "paper_id")
-    unclear = rivals.filter("s > score * 0.9D and abs(v - value) > value * 0.1D").select("paper_id").distinct().withColumn("unclear", F.lit(True))
-    joined = papers.select("paper_id").join(best, "paper_id", "left").join(unclear, "paper_id", "left")
-    status = F.when(F.col("value").isNull(), "missing").when(F.col("unclear"), "ambiguous").otherwise("resolved")
-    return joined.select("paper_id", F.col("value").alias("n_eff"), "semantic_type", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), status.alias("status"), F.col("candidate_id").alias("selected_candidate_id"))
+    score = _score(F.col("confidence"), F.col("semantic_type"))
+    # the least of these is the best candidate; one shuffle by paper serves both the best and its rivals
+    ranked = F.struct((-score).alias("s"), (-F.col("confidence")).alias("c"), *places, "sentence_no", "match_no", "value", "semantic_type", "candidate_id")
+    held = found.filter("confidence > 0.4").select("paper_id", ranked.alias("own"))
+    met = held.select("paper_id", "own", F.min("own").over(Window.partitionBy("paper_id")).alias("best"))
+    value, rival = F.col("best.value"), F.col("own.value")
+    unclear = (-F.col("own.s") > -F.col("best.s") * 0.9) & (F.abs(rival - value) > value * 0.1)
+    best = met.groupBy("paper_id").agg(F.min("best").alias("best"), F.bool_or(unclear).alias("unclear"))
+    joined = papers.select("paper_id").join(best, "paper_id", "left")
+    status = F.when(value.isNull(), "missing").when(F.col("unclear"), "ambiguous").otherwise("resolved")
+    return joined.select(
+        "paper_id", value.alias("n_eff"), F.col("best.semantic_type").alias("semantic_type"), F.coalesce(-F.col("best.c"), F.lit(0.0)).alias("confidence"),
+        status.alias("status"), F.col("best.candidate_id").alias("selected_candidate_id"),
+    )
 
 
 def _last(text: Column, word: str) -> Column:
