@@ -1,10 +1,10 @@
 """Quality classification by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are its words, the shapes of its words, how much of it repeats, and its
-length class, each block a tf-idf vector over hashed or fixed terms. Document frequencies
-come from the whole corpus. A bounded sample of labelled rows (``MAX_LABELLED``, by a hash
-of the id) gives the latent axes (a singular value decomposition of the sample's matrix)
-and the labelled vectors, which are broadcast: their size is bounded by MAX_LABELLED x
+A text's terms are its words, which carry most of its vector, the shapes of its words, how
+much of it repeats, and its length class, each block a tf-idf vector over hashed or fixed
+terms. Document frequencies come from the whole corpus. A bounded sample of labelled rows
+(``MAX_LABELLED``, by a hash of the id) gives the latent axes (the leading singular vectors
+of the sample's matrix, by subspace iteration from a seeded start) and the labelled vectors, which are broadcast: their size is bounded by MAX_LABELLED x
 DIMENSIONS numbers. Every document is then compared with every labelled vector by blocks of
 exact cosine products, and the labels of its nearest ones vote, weighted by similarity.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +38,13 @@ SHARPNESS = 24
 THRESHOLD = 0.3
 FOLDS = 5
 BLOCK = 256
-WORDS, SHAPES, STEPS, LENGTHS = 512, 256, 11, 24
+WORDS, SHAPES, STEPS, LENGTHS = 4096, 256, 11, 24
 #: Blocks of terms: size and weight
-BLOCKS = ((WORDS, 0.2), (SHAPES, 1.0), (STEPS, 1.0), (STEPS, 1.0), (STEPS, 1.0), (LENGTHS, 0.3))
+BLOCKS = ((WORDS, 1.0), (SHAPES, 0.5), (STEPS, 0.4), (STEPS, 0.4), (STEPS, 0.4), (LENGTHS, 0.1))
 TERMS = sum(n for n, _ in BLOCKS)
 CACHE = 300_000
+#: Further directions and rounds of the subspace iteration
+SPARE, ROUNDS = 16, 8
 SCORE = "__score"
 
 _KNOWN: dict[str, tuple[int, int]] = {}
@@ -68,15 +71,16 @@ def _step(share: float) -> int:
 
 def term_counts(text: str) -> np.ndarray:
     words = text.split()
-    known = _KNOWN
+    known, distinct = _KNOWN, Counter(words)
     found: list[int] = []
-    for w in words:
+    for w in distinct:
         found += known.get(w) or _terms_of(w)
-    counts = np.bincount(np.array(found, np.int64), minlength=TERMS).astype(np.float32)
+    times = np.repeat(np.fromiter(distinct.values(), np.float64, len(distinct)), 2)
+    counts = np.bincount(np.array(found, np.int64), times, TERMS).astype(np.float32)
     n = len(words)
     lines = [x for x in text.split("\n") if x.strip()]
     at = WORDS + SHAPES
-    counts[at + _step(1 - len(set(words)) / max(1, n))] = 1
+    counts[at + _step(1 - len(distinct) / max(1, n))] = 1
     counts[at + STEPS + _step(sum(map(str.__eq__, words, words[1:])) / max(1, n - 1))] = 1
     counts[at + 2 * STEPS + _step(1 - len(set(lines)) / max(1, len(lines)) if lines else 0)] = 1
     counts[at + 3 * STEPS + min(LENGTHS - 1, (n + 1).bit_length() - 1)] = 1
@@ -85,7 +89,8 @@ def term_counts(text: str) -> np.ndarray:
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """tf-idf rows, each block of unit length times its weight."""
-    out = np.log1p(counts) * idf
+    out = np.log1p(counts)
+    out *= idf
     at = 0
     for size, weight in BLOCKS:
         part = out[:, at : at + size]
@@ -128,21 +133,30 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label_col: str, id_col: s
     usable = usable.filter(fold("k") != 0).groupBy("k").agg(F.avg("y").alias("y"))
     chosen = usable.orderBy(F.xxhash64("k"), "k").limit(most)
 
-    @F.pandas_udf("binary")
-    def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([term_counts(t).tobytes() for t in texts], dtype=object)
+    @F.pandas_udf("at array<int>, n array<float>")
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        counts = [term_counts(t) for t in texts]
+        at = [np.nonzero(c)[0] for c in counts]
+        return pd.DataFrame({"at": [a.astype(np.int32) for a in at], "n": [c[a] for c, a in zip(counts, at)]})
 
     # the chosen rows are at most ``most``; copies of an id count once
     held = docs.select(column(id_col).alias("k"), text_of(text_col).alias("t")).join(F.broadcast(chosen), "k")
     rows = held.groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "y", counted("t").alias("v")).orderBy("k").collect()
-    x = np.array([np.frombuffer(r["v"], np.float32) for r in rows]).reshape(-1, TERMS)
+    x = np.zeros((len(rows), TERMS), np.float32)
+    for row, r in zip(x, rows):
+        row[r["v"]["at"]] = r["v"]["n"]
     return x, np.array([r["y"] for r in rows], np.float32)
 
 
 def latent_axes(rows: np.ndarray, dimensions: int) -> np.ndarray:
-    """The leading right singular vectors, by the eigenvectors of the terms' Gram matrix; signs fixed."""
-    values, vectors = np.linalg.eigh(rows.T.astype(np.float64) @ rows)
-    axes = vectors[:, ::-1][:, :dimensions]
+    """The leading right singular vectors by subspace iteration, so that no matrix of terms by terms is made; signs fixed."""
+    width = min(dimensions + SPARE, rows.shape[1])
+    basis = np.linalg.qr(np.random.default_rng(5).normal(size=(rows.shape[1], width)))[0].astype(np.float32)
+    for _ in range(ROUNDS):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    seen = (rows @ basis).astype(np.float64)
+    vectors = np.linalg.eigh(seen.T @ seen)[1][:, ::-1][:, :dimensions]
+    axes = basis @ vectors
     return (axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])).astype(np.float32)
 
 

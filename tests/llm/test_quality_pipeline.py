@@ -21,6 +21,29 @@ def test_vote_against_brute_force():
     assert (quality.vote(a, b[:0], y[:0], 5, 24) == 0.5).all()
 
 
+def test_words_carry_most_of_a_vector(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    counts = np.array([quality.term_counts(t) for t in texts])
+    for t, c in zip(texts[:50], counts):
+        words, want = t.split(), np.zeros(quality.WORDS)
+        for w in words:
+            want[zlib.crc32(w.lower().encode()) % quality.WORDS] += 1
+        assert (c[: quality.WORDS] == want).all()
+    idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32)
+    rows = quality.weighted(counts, idf)
+    assert (rows[:, : quality.WORDS] ** 2).sum() > 0.5 * (rows**2).sum()
+
+
+def test_axes_against_a_whole_decomposition():
+    rng = np.random.default_rng(3)
+    rows = (rng.normal(size=(300, 20)) * 2.0 ** -np.arange(20)) @ rng.normal(size=(20, 500)) + 1e-4 * rng.normal(size=(300, 500))
+    values, vectors = np.linalg.svd(rows)[1:]
+    axes = quality.latent_axes(rows.astype(np.float32), 8)
+    assert np.allclose(np.abs((axes * vectors[:8].T).sum(axis=0)), 1, atol=1e-3)
+    assert np.allclose(np.linalg.norm(rows @ axes, axis=0), values[:8], rtol=1e-3)
+    assert quality.latent_axes(np.zeros((0, quality.TERMS), np.float32), 8).shape == (quality.TERMS, 8)
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     rows = quality.query(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
