@@ -74,24 +74,24 @@ class CharacterMap:
         self.longest = max(map(len, self.rules), default=0)
         self.first = re.compile("[" + re.escape("".join(sorted({k[0] for k in self.rules}))) + "]")
 
-    def split(self, text: str):
-        """(replacement, source characters) from left to right, by the longest rule at each place."""
+    def walk(self, text: str):
+        """(output, source characters, whether unchanged) from left to right: by the longest rule at each place, what no rule begins in as whole runs."""
         at = 0
         while at < len(text):
             m = self.first.search(text, at) if self.rules else None
             stop = m.start() if m else len(text)
-            for c in text[at:stop]:
-                yield c, 1
+            if stop > at:
+                yield text[at:stop], stop - at, True
             if not m:
                 return
             at = stop
             for n in range(min(self.longest, len(text) - at), 0, -1):
                 if (out := self.rules.get(text[at : at + n])) is not None:
-                    yield out, n
+                    yield out, n, False
                     at += n
                     break
             else:
-                yield text[at], 1
+                yield text[at], 1, True
                 at += 1
 
 
@@ -126,7 +126,6 @@ class PieceModel:
         apart = self.mark == SPACE and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s:.+)")
         self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.plain = not self.map.rules and not self.squeeze
         self.surfaces = [self._surface(p, kind) for p, _, kind in self.pieces]
 
     def _surface(self, piece: str, kind: int) -> bytes:
@@ -143,39 +142,35 @@ class PieceModel:
         points = np.frombuffer(text.encode("utf-32-le"), "<u4")
         at = np.zeros(len(points) + 1, dtype=np.int64)
         np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), out=at[1:])
-        if self.plain:
-            if not text:
-                return "", at
-            return (self.mark if self.dummy else "") + text.replace(" ", self.mark), np.concatenate([at[:1], at]) if self.dummy else at
         out: list[str] = []
-        source: list[int] = []
-        done, space = 0, self.squeeze
-        started = not self.squeeze
-        for piece, n in self.map.split(text):
-            if not started:
-                if piece == " ":
-                    done += n
-                    continue
-                started = True
-            if not out and self.dummy and not source:
-                out.append(self.mark)
-                source.append(done)
-            if space:
-                piece = piece.lstrip(" ")
-            if piece:
-                out.append(piece.replace(" ", self.mark))
-                source += [done] * len(piece)
-                space = self.squeeze and piece[-1] == " "
+        source: list[np.ndarray] = []
+        # where the text begins: its first character other than the spaces that are squeezed away
+        begin, done, space = None, 0, self.squeeze
+        for piece, n, same in self.map.walk(text):
+            places = np.arange(done, done + n) if same else np.full(len(piece), done)
+            if begin is None:
+                blank = n - len(piece.lstrip(" ")) if same and self.squeeze else 0
+                if not self.squeeze or (blank < n if same else piece != " "):
+                    begin = done + blank
+            if self.squeeze and same:
+                blanks = points[done : done + n] == 32
+                keep = ~(blanks & np.concatenate([[space], blanks[:-1]]))
+                space = bool(blanks[-1])
+                piece, places = points[done : done + n][keep].tobytes().decode("utf-32-le"), places[keep]
+            elif self.squeeze:
+                blank = len(piece) - len(piece.lstrip(" ")) if space else 0
+                piece, places = piece[blank:], places[blank:]
+                space = piece[-1] == " " if piece else space
+            out.append(piece)
+            source.append(places)
             done += n
-        if not started:
+        if begin is None:
             return "", at[:1]
-        norm = "".join(out)
+        norm = (self.mark if self.dummy else "") + "".join(out).replace(" ", self.mark)
+        places = np.concatenate([[begin] if self.dummy else [], *source, [done]]).astype(np.int64)
         if self.squeeze:
-            while norm.endswith(self.mark):
-                norm = norm[:-1]
-                done = source[len(norm)]
-            source = source[: len(norm)]
-        return norm, at[np.array([*source, done], dtype=np.int64)]
+            norm = norm.rstrip(self.mark)
+        return norm, at[places[: len(norm) + 1]]
 
     # encoding
 

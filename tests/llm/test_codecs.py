@@ -52,7 +52,7 @@ def test_character_map_and_offsets_equal_the_library(both, dummy, squeeze):
     own = object.__new__(PieceModel)
     from bibloom.llm.piece_model import CharacterMap
 
-    own.map, own.dummy, own.squeeze, own.mark, own.plain = CharacterMap(spec[2]), dummy, squeeze, "▁", False
+    own.map, own.dummy, own.squeeze, own.mark = CharacterMap(spec[2]), dummy, squeeze, "▁"
     rng = random.Random(3)
     for text in ["", " ", "\t\n", *["".join(rng.choice("ab  \t\nＡＢ ﬁ㍿éｶﾞé½漢😀　①") for _ in range(rng.randint(0, 12))) for _ in range(500)]]:
         norm, at = library.normalize(text, with_offsets=True)
