@@ -9,7 +9,8 @@ batches of ``budget`` padded tokens without gaps.
 
 Defined cases. A token is a maximal run of characters other than space and U+0009-U+000D. A
 null or empty text is one sequence of no tokens, which takes a place in the shortest bucket. Null, repeated or
-tied ids are rows like any others. An empty table gives an empty result.
+tied ids are rows like any others: rows alike in id, piece and length are counted before they
+move, and each copy gets a place of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BUCKETS = 8
 BUDGET = 16384
 LEAST_PARTS = 256
 PART_ROWS = 200_000
+#: Copies of a piece that one row of the written table stands for, at most
+COPIES = 64
 
 
 def count_tokens(text: Column) -> Column:
@@ -48,11 +51,20 @@ def sequences(docs: DataFrame, max_tokens: int = MAX_TOKENS, id_col: str = "doc_
     )
 
 
+def counted(pieces: DataFrame) -> DataFrame:
+    """Pieces alike in every column as rows of at most COPIES of them: first_copy, copies; spread by a hash of all."""
+    alike = pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("n"))
+    blocks = alike.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("block"))
+    first = F.col("block") * COPIES
+    found = blocks.select(*pieces.columns, first.alias("first_copy"), F.least(F.col("n") - first, F.lit(COPIES)).alias("copies"))
+    return found.repartition("id", "seq", "n_tokens", "first_copy")
+
+
 def length_histogram(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> np.ndarray:
     """counts[l]: sequences of length l; the driver holds max_tokens + 1 numbers."""
     counts = np.zeros(max_tokens + 1, dtype=np.int64)
-    for row in pieces.groupBy("n_tokens").count().collect():
-        counts[row["n_tokens"]] = row["count"]
+    for row in pieces.groupBy("n_tokens").agg(F.sum("copies").alias("n")).collect():
+        counts[row["n_tokens"]] = row["n"]
     return counts
 
 
@@ -100,7 +112,7 @@ def pack(
     if budget < max_tokens:
         raise ValueError("the budget must hold one sequence of max_tokens")
     # a narrow table: the texts are read once, for three passes over their lengths
-    pieces = written(sequences(docs, max_tokens, id_col, text_col))
+    pieces = written(counted(sequences(docs, max_tokens, id_col, text_col)))
     counts = length_histogram(pieces, max_tokens)
     bounds = optimal_boundaries(counts, buckets) or [max_tokens]
     sums = np.cumsum(counts)
@@ -110,12 +122,15 @@ def pack(
     # bounded by the number of buckets
     bucket = F.array_position(F.array(*[F.col("n_tokens") <= b for b in bounds]), True).cast("int")
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("bucket"))
-    placed = pieces.withColumn("bucket", bucket).withColumn("mixed", F.xxhash64(F.lit(seed), "id", "seq"))
+    copy = F.explode(F.sequence(F.col("first_copy"), F.col("first_copy") + F.col("copies") - 1))
+    placed = pieces.withColumn("bucket", bucket).withColumn("copy", copy).drop("first_copy", "copies")
+    mixed = F.xxhash64(F.lit(seed), "id", "seq")
+    placed = placed.withColumn("mixed", F.when(F.col("copy") == 0, mixed).otherwise(F.xxhash64(mixed, "copy")))
     placed = placed.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "mixed", "n_tokens"), pick(parts)).cast("int"))
     sizes = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("bucket", "part").orderBy("mixed", "id", "seq")
+    within = Window.partitionBy("bucket", "part").orderBy("mixed", "id", "seq", "copy")
     numbered = placed.withColumn("at", F.row_number().over(within) - 1).join(offsets, ["bucket", "part"])
     place = F.col("first") + F.col("at")
     per_batch = pick([max(1, budget // max(1, b)) for b in bounds])

@@ -62,6 +62,27 @@ def test_packing_of_awkward_tables(spark):
     assert packing.pack(same).count() == 3
 
 
+def test_packing_spreads_repeated_rows(spark):
+    text = F.when(F.col("id") % 3 == 0, F.lit("a b c")).otherwise(F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")))
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), text.alias("text"))
+    held = packing.counted(packing.sequences(docs))
+    copies = [(r["first_copy"], r["copies"]) for r in held.filter("id is null").collect()]
+    assert sorted(copies) == [(i, min(packing.COPIES, 1000 - i)) for i in range(0, 1000, packing.COPIES)]
+    rows = packing.pack(docs, max_tokens=8, buckets=3, budget=24).collect()
+    assert len(rows) == 3000 and sum(r["doc_id"] is None for r in rows) == 1000
+    places = {(r["bucket_tokens"], r["batch"], r["slot"]) for r in rows}
+    assert len(places) == 3000
+    mixed = [r for r in rows if r["bucket_tokens"] == 3 or (r["bucket_tokens"] > 3 and r["n_tokens"] == 3)]
+    whose = {}
+    for r in mixed:
+        whose.setdefault(r["batch"], set()).add(r["doc_id"] is None)
+    # copies of one row stand among the others, not in one stretch
+    assert sum(kinds == {True, False} for kinds in whose.values()) > len(whose) / 3
+    again = packing.pack(docs.repartition(7), max_tokens=8, buckets=3, budget=24).collect()
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+
+
 def test_fisher_yates_is_a_uniform_permutation():
     counts = {}
     for seed in range(6000):
