@@ -88,8 +88,8 @@ def term_counts(text: str) -> np.ndarray:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """tf-idf rows, each block of unit length times its weight."""
-    out = np.log1p(counts)
+    """tf-idf rows in the place of the counts, each block of unit length times its weight."""
+    out = np.log1p(counts, out=counts)
     out *= idf
     at = 0
     for size, weight in BLOCKS:
@@ -133,18 +133,18 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label_col: str, id_col: s
     usable = usable.filter(fold("k") != 0).groupBy("k").agg(F.avg("y").alias("y"))
     chosen = usable.orderBy(F.xxhash64("k"), "k").limit(most)
 
-    @F.pandas_udf("at array<int>, n array<float>")
+    @F.pandas_udf("at binary, n binary")
     def counted(texts: pd.Series) -> pd.DataFrame:
         counts = [term_counts(t) for t in texts]
         at = [np.nonzero(c)[0] for c in counts]
-        return pd.DataFrame({"at": [a.astype(np.int32) for a in at], "n": [c[a] for c, a in zip(counts, at)]})
+        return pd.DataFrame({"at": [a.astype(np.int32).tobytes() for a in at], "n": [c[a].tobytes() for c, a in zip(counts, at)]})
 
     # the chosen rows are at most ``most``; copies of an id count once
     held = docs.select(column(id_col).alias("k"), text_of(text_col).alias("t")).join(F.broadcast(chosen), "k")
     rows = held.groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "y", counted("t").alias("v")).orderBy("k").collect()
     x = np.zeros((len(rows), TERMS), np.float32)
     for row, r in zip(x, rows):
-        row[r["v"]["at"]] = r["v"]["n"]
+        row[np.frombuffer(r["v"]["at"], np.int32)] = np.frombuffer(r["v"]["n"], np.float32)
     return x, np.array([r["y"] for r in rows], np.float32)
 
 
