@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibloom.functions.names import unused
 from bibloom.operators.layout import side_by_side, stages_of
 
 # How figures write counts and head their rows
@@ -92,20 +93,21 @@ def stages_from_layout(counts: DataFrame, headings: DataFrame) -> DataFrame:
     Else the lowest heading above, overlapping, with a gap below twice the region's height (20 at least).
     Headings without a stage take no part; ties go to the smaller region_id.
     """
+    heads = unused("heads", counts)
     marked = headings.withColumn("stage", heading_stage(F.col("text"))).filter("stage is not null")
     beside = (F.col("y1") - F.col("y0") > 1.5 * (F.col("x1") - F.col("x0"))) | (F.col("x1") < 0.2 * F.col("width"))
-    listed = marked.groupBy("fig_id").agg(F.array_sort(F.collect_list(F.struct("region_id", "x0", "y0", "x1", "y1", "stage", beside.alias("side")))).alias("__heads"))
+    listed = marked.groupBy("fig_id").agg(F.array_sort(F.collect_list(F.struct("region_id", "x0", "y0", "x1", "y1", "stage", beside.alias("side")))).alias(heads))
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    left = F.filter("__heads", lambda h: h["side"] & (h["x1"] <= x0 + 5))
+    left = F.filter(heads, lambda h: h["side"] & (h["x1"] <= x0 + 5))
     off = lambda h: F.abs((h["y0"] + h["y1"]) / 2 - (y0 + y1) / 2)
     near = F.array_min(F.transform(left, lambda h: F.struct(off(h).alias("off"), h["region_id"].alias("region_id"), (h["y1"] - h["y0"]).alias("h"), h["stage"].alias("stage"))))
     banner = F.when(near["off"] <= 1.5 * F.greatest(near["h"], y1 - y0), near["stage"])
     wide = lambda h: F.least(h["x1"], x1) - F.greatest(h["x0"], x0)
-    over = F.filter("__heads", lambda h: ~h["side"] & (h["y1"] <= y0 + 2) & (y0 - h["y1"] < 2.0 * F.greatest(y1 - y0, F.lit(20.0))) & (wide(h) > 0))
+    over = F.filter(heads, lambda h: ~h["side"] & (h["y1"] <= y0 + 2) & (y0 - h["y1"] < 2.0 * F.greatest(y1 - y0, F.lit(20.0))) & (wide(h) > 0))
     above = F.array_min(F.transform(over, lambda h: F.struct((-h["y1"]).alias("up"), h["region_id"].alias("region_id"), h["stage"].alias("stage"))))["stage"]
     given = F.coalesce(banner, above)
     joined = counts.join(listed, "fig_id", "left")
-    return joined.withColumn("stages", F.when((F.size("stages") == 0) & given.isNotNull(), F.array(given)).otherwise(F.col("stages"))).drop("__heads")
+    return joined.withColumn("stages", F.when((F.size("stages") == 0) & given.isNotNull(), F.array(given)).otherwise(F.col("stages"))).drop(heads)
 
 
 def stage_totals(counts: DataFrame) -> DataFrame:

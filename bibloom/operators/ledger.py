@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibloom.functions.names import unused
+
 PRICE = 1.0 / 1_000_000  # dollars a token where no cost is reported
 
 
@@ -40,7 +42,9 @@ def cached_answers(requests: DataFrame, records: DataFrame, version: int, now: f
     return requests.join(first, "key", "left").withColumn("hit", F.col("body").isNotNull())
 
 
-def running_budget(rows: DataFrame, key: str, order: list[str], size: Column, most: int) -> DataFrame:
-    """The leading rows of each key whose sizes add up to ``most`` at the most."""
+def running_budget(rows: DataFrame, key: str, order: list[str], size: Column, most: int, total: str = "held") -> DataFrame:
+    """The leading rows of each key whose sizes add up to ``most`` at the most; ``total``, a name that rows lack, holds the sum so far."""
+    if unused(total, rows) != total:
+        raise ValueError(f"rows have a column {total} of their own")
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("held", F.sum(size).over(upto)).filter(F.col("held") <= most)
+    return rows.withColumn(total, F.sum(size).over(upto)).filter(F.col(total) <= most)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibloom.plans import documents, figures, fulltext, graph, overviews, records, reports, tables, text, views
+from bibloom.plans import display, documents, figures, fulltext, graph, overviews, records, reports, tables, text, views
 
-MODULES = (graph, text, records, views, fulltext, tables, figures, documents, reports, overviews)
+MODULES = (graph, text, records, views, fulltext, tables, figures, documents, reports, overviews, display)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
