@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,29 +49,33 @@ def edges_of(papers: DataFrame, edges: DataFrame) -> DataFrame:
     return papers.select("paper_id").join(out, "paper_id", "left").join(into, "paper_id", "left").na.fill(0, ["n_out", "n_in"])
 
 
-def best_titles(wanted: DataFrame, held: DataFrame, percent: int = 60) -> DataFrame:
+def best_titles(wanted: DataFrame, held: DataFrame, percent: int = 60, block: Sequence[str] = ()) -> DataFrame:
     """(id, candidate, score) of wanted (id, title): the candidate of held (candidate, title, cited) with the most similar title.
 
     Similarity is the Jaccard share of words, at least ``percent``; of equal ones (to three
     digits) the most cited candidate counts, then the first. Equal titles are compared once.
     Titles so similar share one of their first size - ceil(share * size) + 1 words in any
-    common order, here the rarest first, so no match is lost and common words meet nothing.
+    common order, here the rarest first, so no match is lost and common words meet nothing;
+    titles without words meet nothing. With ``block``, columns of both, titles meet only where these are equal.
     """
-    best = held.groupBy("title").agg(F.max_by("candidate", F.struct("cited", -F.col("candidate"))).alias("candidate"), F.max("cited").alias("cited"))
-    texts = wanted.select("title").distinct()
-    count = best.select(F.explode(title_words(F.col("title"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    block = list(block)
+    whole = F.coalesce("title", F.lit("")).alias("title")
+    best = held.select(*block, "candidate", "cited", whole).groupBy(*block, "title").agg(F.max_by("candidate", F.struct("cited", -F.col("candidate"))).alias("candidate"), F.max("cited").alias("cited"))
+    texts = wanted.select(*block, whole).distinct()
+    split = lambda titles: titles.select(*block, "title", F.explode(title_words(F.col("title"))).alias("word"))
+    count = split(best).groupBy(*block, "word").agg(F.count(F.lit(1)).alias("n"))
 
     def keys(titles: DataFrame, name: str) -> DataFrame:
-        words = titles.select("title", F.explode(title_words(F.col("title"))).alias("word")).join(count, "word", "left").na.fill(0, ["n"])
-        order = words.groupBy("title").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+        words = split(titles).join(count, [*block, "word"], "left").na.fill(0, ["n"])
+        order = words.groupBy(*block, "title").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
         most = F.size("w") - F.ceil(F.size("w") * percent / 100) + 1
-        return order.select(F.col("title").alias(name), F.explode(F.slice("w", F.lit(1), most.cast("int"))).alias("k")).select(name, "k.word")
+        return order.select(*block, F.col("title").alias(name), F.explode(F.slice("w", F.lit(1), most.cast("int"))).alias("k")).select(*block, name, "k.word")
 
-    met = keys(texts, "a").join(keys(best, "b"), "word").select("a", "b").distinct()
+    met = keys(texts, "a").join(keys(best, "b"), [*block, "word"]).select(*block, "a", "b").distinct()
     alike = met.withColumn("s", title_similarity(F.col("a"), F.col("b"))).filter(100 * F.col("s") >= percent)
-    told = alike.join(best.withColumnRenamed("title", "b"), "b")
-    first = told.groupBy("a").agg(F.max_by(F.struct("candidate", "s"), F.struct(F.round("s", 3), "cited", -F.col("candidate"))).alias("m"))
-    return wanted.join(first, wanted.title == first.a).select("id", "m.candidate", F.round("m.s", 9).alias("score"))
+    told = alike.join(best.withColumnRenamed("title", "b"), [*block, "b"])
+    first = told.groupBy(*block, "a").agg(F.max_by(F.struct("candidate", "s"), F.struct(F.round("s", 3), "cited", -F.col("candidate"))).alias("m"))
+    return wanted.select(*block, "id", whole.alias("a")).join(first, [*block, "a"]).select("id", "m.candidate", F.round("m.s", 9).alias("score"))
 
 
 # --- table views

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibloom.functions import ids
-from bibloom.operators import evaluate, evidence, overlap
+from bibloom.operators import evaluate, evidence, overlap, tables
 from bibloom.sources.recipes import run, table, with_recipes
 
 
@@ -239,11 +239,9 @@ SELECT source, b, c, round(CASE WHEN b + c = 0 THEN 1.0::DOUBLE ELSE least(1.0::
 def c8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best title in each part's brand and type for the part's name: blocking by brand and type, then Jaccard."""
     p = table(spark, sf_dir, "part")
-    wanted = p.select("p_brand", "p_type", F.col("p_partkey").alias("id"), F.col("p_name").alias("wanted")).filter(F.col("p_size") == 1)
+    wanted = p.filter(F.col("p_size") == 1).select("p_brand", "p_type", F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
     held = p.select("p_brand", "p_type", F.col("p_partkey").alias("candidate"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.floor(F.col("p_retailprice")).alias("cited"))
-    pairs = wanted.join(held, ["p_brand", "p_type"]).withColumn("s", evaluate.title_similarity(F.col("wanted"), F.col("title"))).filter("s >= 0.6")
-    best = pairs.groupBy("id").agg(F.max_by(F.struct("candidate", "s"), F.struct(F.round("s", 3).alias("s"), "cited", (-F.col("candidate")).alias("c"))).alias("best"))
-    return best.select("id", F.col("best.candidate").alias("candidate"), F.round("best.s", 9).alias("score"))
+    return tables.best_titles(wanted, held, block=("p_brand", "p_type"))
 
 
 C8_SQL = r"""WITH t AS (SELECT *, list_distinct(list_filter(string_split_regex(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> '')) AS b FROM part),
