@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibloom.functions import ids
+from bibloom.functions.storage import forget, written
 from bibloom.operators import pagerank as pr
 from bibloom.operators import paths, ranking, traverse, weights
-from bibloom.sources.recipes import run, table, with_recipes
+from bibloom.sources.recipes import over, run, table, with_recipes
 
 YEAR = 2026
 ITERATIONS = 10
@@ -42,7 +43,17 @@ def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weighted(spark, sf_dir).select(F.col("source_paper_id").alias("source"), F.col("target_paper_id").alias("target"), F.col("final_weight").alias("weight"), "confidence", "seq")
+    return _plain(weighted(spark, sf_dir))
+
+
+def _plain(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("source_paper_id").alias("source"), F.col("target_paper_id").alias("target"), F.col("final_weight").alias("weight"), "confidence", "seq")
+
+
+def seeds_and_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Seeds and unweighted edges as tables: edges are derived once, and joins know how few seeds there are."""
+    edges = written(table(spark, sf_dir, "edges"))
+    return written(over(spark, sf_dir, "seeds", edges=edges).select("seed_id")), edges
 
 
 def f7(spark: SparkSession, sf_dir: str, limits: tuple = (ITERATIONS, None)) -> DataFrame:
@@ -81,24 +92,27 @@ steps(step, graph, id, n, loose, pr, change) AS (SELECT 0, graph, id, n, loose,
 rlast AS (SELECT graph, id, pr FROM steps QUALIFY row_number() OVER (PARTITION BY graph, id ORDER BY step DESC) = 1)"""
 
 
-def _local(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Each seed's papers within two references, and the edges among them."""
-    edges = plain_edges(spark, sf_dir)
-    seeds = table(spark, sf_dir, "seeds").select("seed_id")
-    step = edges.select(F.col("source").alias("id"), "target")
-    one = seeds.withColumn("id", F.col("seed_id")).join(step, "id").select("seed_id", F.col("target").alias("id"))
-    two = one.join(step, "id").select("seed_id", F.col("target").alias("id"))
-    nodes = seeds.withColumn("id", F.col("seed_id")).unionByName(one).unionByName(two).distinct().withColumnRenamed("seed_id", "graph")
-    inside = edges.join(nodes.select("graph", F.col("id").alias("source")), "source").join(nodes.select("graph", F.col("id").alias("target")), ["graph", "target"])
-    return nodes, inside
+def _local(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each seed's papers within two references, the edges among them, and the resolutions of such papers; edges of no seed's graph are never weighted."""
+    seeds, edges = seeds_and_edges(spark, sf_dir)
+    step = edges.select(F.col("source_paper_id").alias("id"), F.col("target_paper_id").alias("target"))
+    one = written(seeds.withColumn("id", F.col("seed_id")).join(step, "id").select("seed_id", F.col("target").alias("id")))
+    two = one.distinct().join(step, "id").select("seed_id", F.col("target").alias("id"))
+    nodes = written(seeds.withColumn("id", F.col("seed_id")).unionByName(one).unionByName(two).distinct().withColumnRenamed("seed_id", "graph"))
+    end = lambda c: nodes.select("graph", F.col("id").alias(c))
+    inside = written(edges.join(end("source_paper_id"), "source_paper_id").join(end("target_paper_id"), ["graph", "target_paper_id"]))
+    papers = nodes.select(F.col("id").alias("paper_id")).distinct()
+    resolutions = written(table(spark, sf_dir, "resolutions").join(papers, "paper_id", "left_semi"))
+    forget(seeds, edges, one)
+    links = weights.weight_edges(inside, resolutions)
+    return nodes, links.select("graph", F.col("source_paper_id").alias("source"), F.col("target_paper_id").alias("target"), F.col("final_weight").alias("weight")), resolutions
 
 
 def scored(spark: SparkSession, sf_dir: str, limits: tuple = (ITERATIONS, None)) -> DataFrame:
-    nodes, inside = _local(spark, sf_dir)
+    nodes, inside, resolutions = _local(spark, sf_dir)
     ranks = pr.pagerank(nodes, inside, *limits).select(F.col("graph").alias("seed_id"), F.col("id").alias("paper_id"), "pagerank")
-    vertices = weights.build_vertices(table(spark, sf_dir, "papers"), table(spark, sf_dir, "resolutions"))
-    vertices = vertices.join(nodes.select(F.col("graph").alias("seed_id"), F.col("id").alias("paper_id")), "paper_id")
-    return ranking.foundational_scores(vertices, ranks, YEAR)
+    papers = table(spark, sf_dir, "papers").join(nodes.select(F.col("graph").alias("seed_id"), F.col("id").alias("paper_id")), "paper_id")
+    return ranking.foundational_scores(weights.build_vertices(papers, resolutions), ranks, YEAR)
 
 
 def f8(spark: SparkSession, sf_dir: str, limits: tuple = (ITERATIONS, None)) -> DataFrame:
@@ -189,8 +203,9 @@ def f12_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = plain_edges(spark, sf_dir)
-    return traverse.traverse(table(spark, sf_dir, "seeds").select("seed_id"), edges, 2, 1, 100).select("seed_id", "paper_id", "direction", "depth", "place")
+    seeds, edges = seeds_and_edges(spark, sf_dir)
+    walk = edges.select(F.col("source_paper_id").alias("source"), F.col("target_paper_id").alias("target"), "seq")
+    return traverse.traverse(seeds, walk, 2, 1, 100).select("seed_id", "paper_id", "direction", "depth", "place")
 
 
 def _level(name: str, way: str, depth: int, share: int | None) -> str:
@@ -214,7 +229,8 @@ F1_SQL = with_recipes(
 
 
 def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.component_summary(table(spark, sf_dir, "seeds").select("seed_id"), plain_edges(spark, sf_dir))
+    seeds, edges = seeds_and_edges(spark, sf_dir)
+    return traverse.component_summary(seeds, edges.select(F.col("source_paper_id").alias("source"), F.col("target_paper_id").alias("target")))
 
 
 F4_SQL = with_recipes("""WITH RECURSIVE around AS (SELECT source_paper_id AS a, target_paper_id AS b FROM edges UNION SELECT target_paper_id, source_paper_id FROM edges),

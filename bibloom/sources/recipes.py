@@ -96,3 +96,14 @@ def run(spark: SparkSession, sf_dir: str, body: str, *names: str) -> DataFrame:
     body = with_recipes(body, *names) if names else body
     register(spark, sf_dir, body)
     return spark.sql(body)
+
+
+def over(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A recipe over frames that hold what it needs of other recipes (NEEDS), so that these are worked out once."""
+    for need, frame in given.items():
+        frame.createOrReplaceTempView(need)
+    try:
+        return run(spark, sf_dir, RECIPES[name])
+    finally:
+        for need in given:
+            spark.catalog.dropTempView(need)
