@@ -45,7 +45,8 @@ def traverse(seeds: DataFrame, edges: DataFrame, backward: int = 2, forward: int
     share["forward"] = budget - share["backward"]
     depths = {"backward": backward, "forward": forward}
     step = _steps(edges, aliases)
-    known = cut(seeds.select("seed_id").distinct().select("seed_id", _itself(), F.lit("seed").alias("direction"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place")))
+    # tables, whose size joins know: a small frontier is sent to the edges, which stay where they are
+    known = written(seeds.select("seed_id").distinct().select("seed_id", _itself(), F.lit("seed").alias("direction"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place")))
     for depth in range(max(backward, forward)):
         for way, other in (("backward", "forward"), ("forward", "backward")):
             if depth >= depths[way]:
@@ -66,25 +67,27 @@ def traverse(seeds: DataFrame, edges: DataFrame, backward: int = 2, forward: int
             # the constant lets every task keep max_papers rows a seed at most before rows meet; the seed's own room then cuts exactly
             fresh = fresh.withColumn("r", F.row_number().over(order)).filter((F.col("r") <= max_papers) & (F.col("r") <= F.col("room")))
             fresh = fresh.select("seed_id", "paper_id", F.lit(way).alias("direction"), F.lit(depth + 1).alias("depth"), (F.col("held") + F.col("r") - 1).alias("place"))
-            known = cut(known.unionByName(fresh))
+            before, known = known, written(known.unionByName(fresh))
+            forget(before)
     return known
 
 
 def components(edges: DataFrame) -> DataFrame:
     """A table (paper_id, component) of all ends of edges (source, target): the smallest id that each is connected with.
 
-    Contraction: every root hangs on the neighbour that comes first in a hashed order if that comes before itself,
+    Contraction, each link held once: every root hangs on the neighbour that comes first in a hashed order if that comes before itself,
     pointers jump until they reach a root, and edges between roots remain. The hashed order keeps chains short, so
     a third of a chain's roots is left after a round, whatever its ids.
     """
+    ordered = lambda df: df.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    ends = lambda df: df.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     both = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    links = written(both.filter("u <> v").distinct())
-    labels = written(both.select("u").distinct().select(F.col("u").alias("paper_id"), F.col("u").alias("root")))
+    links = written(ordered(both))
+    labels = written(ends(both).select("u").distinct().select(F.col("u").alias("paper_id"), F.col("u").alias("root")))
     turn = 0
     while not links.isEmpty():
         order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        least = links.groupBy("u").agg(F.min(order("v")).alias("first"))
+        least = ends(links).groupBy("u").agg(F.min(order("v")).alias("first"))
         up = written(least.select(F.col("u").alias("child"), F.least(F.col("first"), order("u"))["id"].alias("parent")))
         while True:
             above = up.select(F.col("child").alias("parent"), F.col("parent").alias("beyond"))
@@ -94,7 +97,7 @@ def components(edges: DataFrame) -> DataFrame:
             if higher.filter("moved").isEmpty():
                 break
         end = lambda c: up.select(F.col("child").alias(c), F.col("parent").alias(f"{c}_root"))  # noqa: B023, E731
-        fewer = written(links.join(end("u"), "u").join(end("v"), "v").filter("u_root <> v_root").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct())
+        fewer = written(ordered(links.join(end("u"), "u").join(end("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))))
         moved = written(labels.join(up.select(F.col("child").alias("root"), F.col("parent").alias("top")), "root", "left").select("paper_id", F.coalesce("top", "root").alias("root")))
         forget(links, labels, up)
         links, labels, turn = fewer, moved, turn + 1

@@ -13,7 +13,7 @@ from bibloom.plans import fulltext as fulltext_queries
 from bibloom.plans import records as record_queries
 from bibloom.plans import text as text_queries
 from bibloom.plans import views as view_queries
-from bibloom.plans.graph import F1_SQL, plain_edges
+from bibloom.plans.graph import F1_SQL, seeds_and_edges
 from bibloom.sources import dumps, exports
 from bibloom.sources.recipes import run, table, with_recipes
 from bibloom.streaming import papers
@@ -104,9 +104,10 @@ UNION ALL SELECT DISTINCT journal, unnest([{', '.join("'" + x + "'" for x in _HE
 
 def a12_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole node/link document of every seed's walk, at most 100 papers each."""
-    edges = plain_edges(spark, sf_dir)
-    walk = traverse.traverse(table(spark, sf_dir, "seeds").select("seed_id"), edges, 2, 1, 100).select("seed_id", "paper_id")
-    v = weights.build_vertices(table(spark, sf_dir, "papers"), table(spark, sf_dir, "resolutions")).join(walk, "paper_id")
+    seeds, edges = seeds_and_edges(spark, sf_dir)
+    edges = edges.select(F.col("source_paper_id").alias("source"), F.col("target_paper_id").alias("target"), "confidence", "seq")
+    walk = traverse.traverse(seeds, edges, 2, 1, 100).select("seed_id", "paper_id")
+    v = weights.build_vertices(table(spark, sf_dir, "papers").join(walk, "paper_id"), table(spark, sf_dir, "resolutions").join(walk.select("paper_id").distinct(), "paper_id", "left_semi"))
     end = lambda c: walk.select("seed_id", F.col("paper_id").alias(c))
     inside = edges.join(end("source"), "source").join(end("target"), ["seed_id", "target"]).select("seed_id", "source", "target", F.round("confidence", 2).alias("weight"))
     back = F.from_json("document", "nodes array<struct<id:string,label:string,year:int,n_eff:int>>, links array<struct<source:string,target:string,weight:double>>")
