@@ -87,17 +87,26 @@ def reading_order(lines: DataFrame, key: list[str]) -> DataFrame:
 def side_by_side(counts: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Adds row to counts (key, seq, cy, h): from the top, a count beside its row's first one within half of the taller. The key is fig_id by default."""
     key = key or ["fig_id"]
-    listed = counts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("cy", "seq", "h"))).alias("all"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("h"), F.array().cast("array<struct<seq:bigint,row:int>>").alias("out"))
+    rest = [c for c in counts.columns if c not in (*key, "seq", "cy", "h")]
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema}
+    held = ["seq", "cy", "h", *(["rest"] if rest else [])]
+    whole = counts.select(*key, "seq", "cy", "h", *([F.struct(*rest).alias("rest")] if rest else []))
+    if rest:
+        kinds["rest"] = whole.schema["rest"].dataType.simpleString()
+    # the other columns ride along, so nothing is joined back
+    listed = whole.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("cy", "seq", "h", *held[3:]))).alias("all"))
+    out = ",".join(f"{c}:{kinds[c]}" for c in held)
+    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("h"), F.array().cast(f"array<struct<{out},row:int>>").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
         same = (acc["row"] >= 0) & (F.abs(acc["cy"] - c["cy"]) < 0.5 * F.greatest(acc["h"], c["h"], F.lit(1.0)))
         row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
         first = lambda name: F.when(same, acc[name]).otherwise(c[name]).alias(name)
-        return F.struct(row.alias("row"), first("cy"), first("h"), F.array_append(acc["out"], F.struct(c["seq"].cast("long").alias("seq"), row.alias("row"))).alias("out"))
+        cell = F.struct(*[c[k].alias(k) for k in held], row.alias("row"))
+        return F.struct(row.alias("row"), first("cy"), first("h"), F.array_append(acc["out"], cell).alias("out"))
 
-    rows = listed.select(*key, F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("r")).select(*key, "r.seq", "r.row")
-    return counts.join(rows, [*key, "seq"])
+    rows = listed.select(*key, F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("r"))
+    return rows.select(*key, *[F.col(f"r.{c}") if c in held else F.col(f"r.rest.{c}") for c in counts.columns if c not in key], "r.row")
 
 
 def row_totals(counts: DataFrame) -> DataFrame:
