@@ -29,6 +29,7 @@ UNIT = 576
 WIDTH = 144
 ROW = 4 * WIDTH
 MOST = webp.MAX_SIDE * ROW
+AT_ONCE = 1 << 20  # bytes of text that are written side by side
 FEW = 10  # pixels a colour from which on a palette is tried
 
 
@@ -36,19 +37,41 @@ def payload_of(text: bytes) -> bytes:
     return text + b"\xff" * (-len(text) % UNIT or (0 if text else UNIT))
 
 
-def written(image: np.ndarray) -> bytes:
-    """The image's file: where it repeats few colours often, the smaller one of those with and without a palette."""
-    plain = webp.encode(image)
-    colours = len(np.unique(np.ascontiguousarray(image).view("<u4")))
-    if colours > 256 or FEW * colours > image.size // 4:
-        return plain
-    return min(plain, webp.encode(image, palette=True), key=len)
+def written(image: np.ndarray, plan: dict) -> bytes:
+    """The image's file as planned; where it repeats few colours often, the smaller one of that and one with a palette."""
+    planned = webp.encode(image, **plan)
+    packed = np.ascontiguousarray(image).view("<u4").ravel()
+    most = min(256, len(packed) // FEW)
+    if len(set(packed[: 2 * most].tolist())) > most or len(np.unique(packed)) > most:
+        return planned
+    return min(planned, webp.encode(image, palette=True), key=len)
+
+
+def store_all(payloads: list[bytes]) -> list[list[bytes]]:
+    """The images of each payload."""
+    parts = [[p[i : i + MOST] for i in range(0, len(p), MOST)] for p in payloads]
+    images = [np.frombuffer(x, np.uint8).reshape(-1, WIDTH, 4) for p in parts for x in p]
+    files = iter([written(image, plan) for image, plan in zip(images, webp.plans(images))])
+    return [[next(files) for _ in p] for p in parts]
 
 
 def store(payload: bytes) -> list[bytes]:
     """The payload's images."""
-    parts = (payload[i : i + MOST] for i in range(0, len(payload), MOST))
-    return [written(np.frombuffer(p, np.uint8).reshape(-1, WIDTH, 4)) for p in parts]
+    return store_all([payload])[0]
+
+
+def together(texts: pd.Series) -> Iterator[list[bytes]]:
+    """Texts' UTF-8 bytes, as many at once as are written side by side."""
+    some: list[bytes] = []
+    size = 0
+    for text in texts:
+        some.append(text.encode())
+        size += len(some[-1])
+        if size >= AT_ONCE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def pixels(images: list[bytes]) -> np.ndarray:
@@ -71,7 +94,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     @F.pandas_udf("array<binary>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series([store(payload_of(t.encode())) for t in texts], dtype=object)
+            yield pd.Series([files for some in together(texts) for files in store_all([payload_of(raw) for raw in some])], dtype=object)
 
     text = text_of(text_col)
     return docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), run(text).alias("media"))
@@ -101,12 +124,11 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for texts in parts:
             rows = []
-            for text in texts:
-                raw = text.encode()
-                media = store(payload_of(raw))
-                image = pixels(media)
-                back, stored = image.tobytes(), b"".join(media)
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(image)))
+            for some in together(texts):
+                for raw, media in zip(some, store_all([payload_of(raw) for raw in some])):
+                    image = pixels(media)
+                    back, stored = image.tobytes(), b"".join(media)
+                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(image)))
             yield pd.DataFrame(rows, columns=names)
 
     return docs.select(F.col(id_col), run(text_of(text_col)).alias("m")).select(id_col, "m.*")

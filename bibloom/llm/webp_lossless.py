@@ -1,15 +1,18 @@
 """Lossless WebP (VP8L): pixel arrays to image files and back.
 
-The helper that media.py runs inside tasks. An image with one prefix-code group is read
-without a loop over bits: at every bit of a window the length of the token that would start
-there is looked up, and one chain of jumps from the first bit finds the tokens. Files are
-read in windows, so memory follows the image, not the bits.
+The helper that media.py runs inside tasks. The writer weighs, for several images side by
+side, the pixels as they are against subtract-green, every predictor, cross-colour and
+colour caches by the bits that their values would take, and writes what takes least.
+An image with one prefix-code group is read without a loop over bits: at every bit of a
+window the length of the token that would start there is looked up, and a chain of jumps
+from the first bit finds the tokens. Files are read in windows, so what is looked up at
+once stays bounded.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
-import itertools
 import struct
 
 import numpy as np
@@ -26,6 +29,11 @@ NEAR = sorted(
 )
 WINDOW = 1 << 14  # bytes
 PAD = 64
+SIDE_BY_SIDE = 1 << 15  # pixels that the writer weighs together
+MODES = range(1, 14)  # predictors that it weighs: number 0 leaves pixels as they are
+CACHES = (5, 8)  # colour caches that it weighs, in bits
+BLOCK = 4
+SYMBOL, TRANSFORM = 16 * 6, 16 * 80  # about what a symbol in a code's header, and a transform, take
 R, G, B, A = range(4)  # channels of a pixel array
 READ_ORDER = (G, R, B, A)
 
@@ -74,6 +82,12 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
+@functools.cache
+def _reversed(width: int) -> np.ndarray:
+    """Every number of so many bits with its bits reversed."""
+    return _REVERSED[np.arange(1 << width) << (15 - width)]
+
+
 class Table:
     """Looks up the code that the next ``width`` bits begin with: symbol and length."""
 
@@ -81,16 +95,16 @@ class Table:
         used = np.nonzero(lengths)[0]
         if len(used) < 2:  # a single symbol takes no bits
             self.width = 0
-            self.symbols, self.sizes = np.array([used[0] if len(used) else 0], np.int32), np.zeros(1, np.int32)
+            self.symbols, self.sizes = np.array([used[0] if len(used) else 0]), np.zeros(1, np.int64)
             return
         self.width = int(lengths.max())
         order = used[np.argsort(lengths[used], kind="stable")]
         steps = 1 << (self.width - lengths[order])
         if steps.sum() != 1 << self.width:
             raise ValueError("a prefix code is not complete")
-        back = _REVERSED[: 1 << self.width] if self.width == 15 else _REVERSED[np.arange(1 << self.width) << (15 - self.width)] & ((1 << self.width) - 1)
-        self.symbols = np.repeat(order, steps).astype(np.int32)[back]
-        self.sizes = np.repeat(lengths[order], steps).astype(np.int32)[back]
+        back = _reversed(self.width)
+        self.symbols = np.repeat(order, steps)[back]
+        self.sizes = np.repeat(lengths[order], steps)[back]
 
 
 # --- bits
@@ -186,8 +200,8 @@ def _code_header(lengths: np.ndarray) -> list[tuple[int, int]]:
         used = used or [0]
         return [(1, 1), (len(used) - 1, 1), (1, 1), *((s, 8) for s in used)]
     tokens: list[tuple[int, int, int]] = []
-    for value, same in itertools.groupby(lengths.tolist()):
-        run = sum(1 for _ in same)
+    begins = [0, *(np.nonzero(lengths[1:] != lengths[:-1])[0] + 1).tolist(), len(lengths)]
+    for value, run in zip(lengths[begins[:-1]].tolist(), [b - a for a, b in zip(begins, begins[1:])]):
         if value == 0:
             while run >= 11:
                 n = min(run, 138)
@@ -214,18 +228,212 @@ def _code_header(lengths: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _cache_index(pixels: np.ndarray, bits: int) -> np.ndarray:
-    argb = pixels.astype(np.uint64) @ np.array([1 << 16, 1 << 8, 1, 1 << 24], np.uint64)
-    return ((argb * np.uint64(HASH) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
+    argb = np.ascontiguousarray(pixels[:, [B, G, R, A]]).view("<u4").ravel()
+    return (argb * np.uint32(HASH) >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def _cached(pixels: np.ndarray, bits: int) -> np.ndarray:
     """Where the colour cache holds the pixel when it comes: the last pixel of its slot was equal."""
-    slot = _cache_index(pixels, bits)
+    return _repeats(_cache_index(pixels, bits).astype(np.uint16), pixels)
+
+
+# what pixels would take, in sixteenths of a bit
+
+
+def _product(counts: np.ndarray) -> np.ndarray:
+    return np.rint(16 * counts * np.log2(np.maximum(counts, 1))).astype(np.int64)
+
+
+_PRODUCTS = _product(np.arange(1 << 16))
+
+
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """The entropy of each histogram along the last axis, and what its code's header takes."""
+    total = counts.sum(axis=-1)
+    product = _PRODUCTS.__getitem__ if total.max(initial=0) < len(_PRODUCTS) else _product
+    return product(total) - product(counts).sum(axis=-1) + SYMBOL * np.count_nonzero(counts, axis=-1)
+
+
+def _taken(counts: np.ndarray, slots: np.ndarray | None = None) -> np.ndarray:
+    """Of (images, 4, 256) counts, and those of cache slots: the cheaper of one and three codes for red, blue and alpha."""
+    green = counts[:, G] if slots is None else np.concatenate([counts[:, G], slots], axis=1)
+    others = counts[:, [R, B, A]]
+    return _bits(green) + np.minimum(_bits(others.sum(axis=1)), _bits(others).sum(axis=1))
+
+
+class _Side:
+    """Images of one width, one below another: their neighbours and counts."""
+
+    def __init__(self, images: list[np.ndarray]):
+        self.n, self.width = len(images), images[0].shape[1]
+        heights = np.array([len(x) for x in images])
+        self.flat = np.concatenate([x.reshape(-1, 4) for x in images])
+        self.image = np.repeat(np.arange(self.n), heights * self.width)
+        self.starts = np.concatenate([[0], np.cumsum(heights * self.width)[:-1]])
+        self.place = self.image[:, None] * 1024 + np.arange(4) * 256
+        wide = self.flat.astype(np.int16)
+        before = lambda d: np.concatenate([np.zeros((min(d, len(wide)), 4), np.int16), wide[: max(0, len(wide) - d)]])
+        w = self.width
+        self.near = before(1), before(w), before(w - 1) if w > 1 else before(1), before(w + 1)
+        self.near_green = tuple(np.ascontiguousarray(x[:, G]) for x in self.near)
+        self.green, self.place_green = np.ascontiguousarray(self.flat[:, G]), self.image * 256
+        # the first row is predicted by the left, the first column by the top
+        row = (self.starts[:, None] + np.arange(w)).ravel()
+        column = np.arange(0, len(wide), w)
+        self.edge = np.concatenate([column, row])
+        self.known = np.concatenate([self.near[1][column], self.near[0][row]]).astype(np.uint8)
+        self.known[len(column) :: w] = (0, 0, 0, 255)
+
+    def greens(self, mode: int) -> np.ndarray:
+        """Counts of what green leaves under a mode."""
+        if mode == 11:
+            left = self.residual(mode)[:, G]
+        else:
+            predicted = _predict(mode, *self.near_green).astype(np.uint8)
+            predicted[self.edge] = self.known[:, G]
+            left = self.green - predicted
+        return np.bincount(self.place_green + left, minlength=self.n * 256).reshape(self.n, 256)
+
+    def residual(self, mode: int) -> np.ndarray:
+        predicted = _predict(mode, *self.near).astype(np.uint8)
+        predicted[self.edge] = self.known
+        return self.flat - predicted
+
+    def counts(self, pixels: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
+        at = self.place + pixels if some is None else self.place[some] + pixels[some]
+        return np.bincount(at.ravel(), minlength=self.n * 1024).reshape(self.n, 4, 256)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts)
+
+
+def _green_taken(pixels: np.ndarray) -> np.ndarray:
+    out = pixels.copy()
+    out[..., R] -= out[..., G]
+    out[..., B] -= out[..., G]
+    return out
+
+
+def plans(images: list[np.ndarray]) -> list[dict]:
+    """What encode is to use for each image, palettes aside: what its values would take the fewest bits with.
+
+    Images of one width are weighed together; a choice depends on the image alone.
+    """
+    found: list[dict] = []
+    group: list[np.ndarray] = []
+    size = 0
+    for image in images:
+        area = image.shape[0] * image.shape[1]
+        if group and (len(group) == 64 or size + area > SIDE_BY_SIDE or image.shape[1] != group[0].shape[1]):
+            found += _plans(group)
+            group, size = [], 0
+        group.append(image)
+        size += area
+    return found + (_plans(group) if group else [])
+
+
+def _plans(images: list[np.ndarray]) -> list[dict]:
+    # a large image is weighed in strips, each as if it stood alone
+    rows = max(1, SIDE_BY_SIDE // images[0].shape[1])
+    strips = [_Side(images)] if len(images) > 1 else [_Side([images[0][y : y + rows]]) for y in range(0, len(images[0]), rows)]
+    total = lambda f: sum(f(k) for k in range(len(strips)))
+    every = np.arange(len(images))
+    plain = _taken(total(lambda k: strips[k].counts(strips[k].flat)))
+    green = _taken(total(lambda k: strips[k].counts(_green_taken(strips[k].flat))))
+    # the predictor that leaves least of green is weighed with all channels
+    mode = np.argmin(np.stack([_bits(total(lambda k, m=m: strips[k].greens(m))) for m in MODES]), axis=0)
+    spatial = _taken(total(lambda k: strips[k].counts(_picked(strips[k], mode, every >= 0))))
+    blocks = np.array([np.prod(_blocks(x.shape[1], len(x), BLOCK)) for x in images])
+    spatial += TRANSFORM + 2 * 16 * blocks
+    predicted = spatial < np.minimum(plain, green)
+    best = np.where(predicted, spatial, plain)
+
+    left = [_picked(s, mode, predicted) for s in strips]
+    if predicted.any():
+        green = _taken(total(lambda k: strips[k].counts(_green_taken(left[k])))) + np.where(predicted, TRANSFORM + 2 * 16 * blocks, 0)
+    subtract = green < best
+    best = np.minimum(best, green)
+
+    # cross-colour: the slopes of red and blue on green, of blue on red
+    small = [x.view(np.int8).astype(np.int64) for x in left]
+    slope = lambda a, b: np.clip(
+        np.rint(32 * total(lambda k: strips[k].sums(small[k][:, a] * small[k][:, b])) / np.maximum(1, total(lambda k: strips[k].sums(small[k][:, a] ** 2)))), -128, 127
+    ).astype(np.int64)
+    red, blue, none = slope(G, R), slope(G, B), every * 0
+    elements = [np.stack(x, axis=1) for x in ((red, blue, none), (red, none, slope(R, B)))]
+    crossed = [_taken(total(lambda k, e=e: strips[k].counts(_cross(left[k], e[strips[k].image], -1)))) for e in elements]
+    crossed = np.stack(crossed) + TRANSFORM + 3 * 16 * 8 + np.where(predicted, TRANSFORM + 2 * 16 * blocks, 0)
+    cross = np.where(crossed.min(axis=0) < best, crossed.argmin(axis=0), -1)
+    for k, s in enumerate(strips):
+        those = (subtract & (cross < 0))[s.image]
+        left[k][those] = _green_taken(left[k][those])
+        for j, e in enumerate(elements):
+            those = (cross == j)[s.image]
+            left[k][those] = _cross(left[k][those], e[s.image[those]], -1)
+
+    # colour caches, for pixels that don't repeat the one before
+    alone = []
+    for k, s in enumerate(strips):
+        packed = left[k].view("<u4").ravel()
+        fresh = np.ones(len(packed), bool)
+        fresh[1:] = packed[1:] != packed[:-1]
+        fresh[s.starts] = True
+        alone.append(fresh)
+    taken = [_taken(total(lambda k: strips[k].counts(left[k], alone[k])))]
+    for b in CACHES:
+        counts, slots = 0, 0
+        for k, s in enumerate(strips):
+            slot = s.image << b | _cache_index(left[k], b)
+            hit = _repeats(slot.astype(np.uint16), left[k]) & alone[k]
+            counts += s.counts(left[k], alone[k] & ~hit)
+            slots += np.bincount(slot[hit], minlength=s.n << b).reshape(s.n, -1)
+        taken.append(_taken(counts, slots) + SYMBOL * np.count_nonzero(slots, axis=1))
+    cache = np.argmin(np.stack(taken), axis=0)
+
+    return [
+        {
+            "predictor": _block_modes(x, MODES[mode[i]]) if predicted[i] else None,
+            "cross": tuple(elements[cross[i]][i].tolist()) if cross[i] >= 0 else None,
+            "subtract_green": bool(subtract[i] and cross[i] < 0),
+            "cache_bits": (0, *CACHES)[cache[i]],
+        }
+        for i, x in enumerate(images)
+    ]
+
+
+def _picked(side: _Side, mode: np.ndarray, predicted: np.ndarray) -> np.ndarray:
+    """What the mode of each image leaves, of those that are predicted."""
+    out = side.flat.copy()
+    for m in np.unique(mode[predicted]).tolist():
+        those = (predicted & (mode == m))[side.image]
+        out[those] = side.residual(MODES[m])[those]
+    return out
+
+
+def _block_modes(image: np.ndarray, mode: int) -> np.ndarray:
+    """The mode of each block that takes least, at the prices of values under the given one."""
+    height, width = image.shape[:2]
+    h, w = _blocks(height, width, BLOCK)
+    left = (image - _predicted(image, mode)).astype(np.uint8)
+    counts = np.stack([np.bincount(left[..., c].ravel(), minlength=256) for c in range(4)])
+    price = np.rint(16 * np.log2((height * width + 256) / (counts + 1))).astype(np.int32)
+    takes = []
+    for m in (mode, *(m for m in MODES if m != mode)):
+        left = (image - _predicted(image, m)).astype(np.uint8)
+        each = sum(price[c][left[..., c]] for c in range(4))
+        each = np.pad(each, ((0, (h << BLOCK) - height), (0, (w << BLOCK) - width)))
+        takes.append(each.reshape(h, 1 << BLOCK, w, 1 << BLOCK).sum(axis=(1, 3)) + (0 if m == mode else SYMBOL))
+    modes = np.array([mode, *(m for m in MODES if m != mode)])
+    return modes[np.argmin(np.stack(takes), axis=0)]
+
+
+def _repeats(slot: np.ndarray, pixels: np.ndarray) -> np.ndarray:
+    """Where the pixel before in the same slot is equal."""
     order = np.argsort(slot, kind="stable")
-    same = np.zeros(len(pixels), bool)
-    if len(pixels) > 1:
-        a, b = order[:-1], order[1:]
-        same[b] = (slot[a] == slot[b]) & (pixels[a] == pixels[b]).all(axis=1)
+    packed = np.ascontiguousarray(pixels).view("<u4").ravel()[order]
+    slot = slot[order]
+    same = np.zeros(len(slot), bool)
+    same[order[1:]] = (slot[1:] == slot[:-1]) & (packed[1:] == packed[:-1])
     return same
 
 
@@ -235,7 +443,9 @@ def _put_pixels(out: Writer, pixels: np.ndarray, main: bool, cache_bits: int, li
     packed = np.ascontiguousarray(pixels).view("<u4").ravel()
     same = np.zeros(n, bool)
     same[1:] = packed[1:] == packed[:-1]
-    edges = np.diff(np.concatenate([[0], same.astype(np.int8), [0]]))
+    edges = np.zeros(n + 1, np.int8)
+    edges[:n] = same
+    edges[1:] -= same
     begins, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
     long = ends - begins >= 4
     begins, ends = begins[long], ends[long]
@@ -260,17 +470,21 @@ def _put_pixels(out: Writer, pixels: np.ndarray, main: bool, cache_bits: int, li
     slots = _cache_index(pixels[cached], cache_bits) if cache_bits else np.zeros(0, np.int64)
     counts = [np.bincount(lit[:, G], minlength=ALPHABETS[0] + (1 << cache_bits if cache_bits else 0))]
     counts[0] += np.bincount(256 + copy_symbol, minlength=len(counts[0])) + np.bincount(280 + slots, minlength=len(counts[0]))
-    rest = np.bincount(lit[:, [R, B, A]].ravel(), minlength=256)  # one code for three channels
+    others = [np.bincount(lit[:, c], minlength=256) for c in (R, B, A)]
+    joint = others[0] + others[1] + others[2]
+    if _bits(joint) <= sum(_bits(x) for x in others):  # one code for three channels saves headers
+        others = [joint]
     near = np.zeros(40, np.int64)
     near[1] = len(sizes)  # distance code 2: the pixel to the left
-    lengths = [code_lengths(c, limit) for c in (counts[0], rest, near)]
+    lengths = [code_lengths(c, limit) for c in (counts[0], *others, near)]
     headers = [_code_header(x) for x in lengths]
-    for k in (0, 1, 1, 1, 2):
+    which = (0, 1, 1, 1, 2) if len(others) == 1 else (0, 1, 2, 3, 4)
+    for k in which:
         out.put_all(headers[k])
     alone = [np.count_nonzero(x) < 2 for x in lengths]  # such a code takes no bits
     codes = [np.zeros_like(x) if one else canonical(x) for x, one in zip(lengths, alone)]
     bits = [np.zeros_like(x) if one else x for x, one in zip(lengths, alone)]
-    codes, bits = [[x[0], x[1], x[1], x[1]] for x in (codes, bits)]
+    codes, bits = [[x[k] for k in which] for x in (codes, bits)]
 
     value, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     v, s = np.zeros(len(lit), np.uint64), np.zeros(len(lit), np.int64)
@@ -291,14 +505,18 @@ def _blocks(width: int, height: int, bits: int) -> tuple[int, int]:
 
 
 def encode(
-    pixels: np.ndarray, predictor: int | None = None, cross: tuple[int, int, int] | None = None,
-    subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, block_bits: int = 4, limit: int = 12,
+    pixels: np.ndarray, predictor: int | np.ndarray | None = None, cross: tuple[int, int, int] | None = None,
+    subtract_green: bool = False, palette: bool = False, cache_bits: int | None = None, block_bits: int = BLOCK, limit: int = 12,
 ) -> bytes:
     """A file of an (height, width, 4) array of RGBA bytes.
 
-    Optional transforms: one predictor mode for all blocks, one cross-colour element
-    (green to red, green to blue, red to blue), subtract-green, or a palette.
+    Transforms: a predictor mode for all blocks or one for each, one cross-colour element
+    (green to red, green to blue, red to blue), subtract-green, or a palette. Where none is
+    named, nor a cache, those of plans() are taken.
     """
+    if predictor is None and cross is None and cache_bits is None and not (subtract_green or palette):
+        return encode(pixels, **plans([pixels])[0], limit=limit)
+    cache_bits = cache_bits or 0
     height, width = pixels.shape[:2]
     if not (0 < height <= MAX_SIDE and 0 < width <= MAX_SIDE):
         raise ValueError("sides are 1 to 16384 pixels")
@@ -323,15 +541,18 @@ def encode(
         image[..., G] = (index << (np.arange(share) * (8 // share))).sum(axis=2)
     w, h = image.shape[1], image.shape[0]
     if predictor is not None:
-        image = (image - _predicted(image, predictor)).astype(np.uint8)
-        _put_blocks(out, PREDICTOR, (0, predictor, 0, 255), w, h, block_bits, limit)
+        modes = np.broadcast_to(np.asarray(predictor), _blocks(h, w, block_bits))
+        spread = modes.repeat(1 << block_bits, axis=0).repeat(1 << block_bits, axis=1)[:h, :w]
+        left = np.empty_like(image)
+        for m in np.unique(modes).tolist():
+            left[spread == m] = (image - _predicted(image, m)).astype(np.uint8)[spread == m]
+        image = left
+        _put_blocks(out, PREDICTOR, (0, modes, 0, 255), w, h, block_bits, limit)
     if cross is not None:
         image = _cross(image, np.broadcast_to(np.array(cross, np.int64), (h, w, 3)), -1)
         _put_blocks(out, CROSS_COLOUR, (cross[2] & 255, cross[1] & 255, cross[0] & 255, 255), w, h, block_bits, limit)
     if subtract_green:
-        image = image.copy()
-        image[..., R] -= image[..., G]
-        image[..., B] -= image[..., G]
+        image = _green_taken(image)
         out.put(1, 1)
         out.put(SUBTRACT_GREEN, 2)
     out.put(0, 1)
@@ -346,7 +567,10 @@ def _put_blocks(out: Writer, kind: int, element: tuple, width: int, height: int,
     out.put(kind, 2)
     out.put(bits - 2, 3)
     w, h = _blocks(width, height, bits)
-    _put_pixels(out, np.tile(np.array(element, np.uint8), (w * h, 1)), False, 0, limit)
+    image = np.empty((h, w, 4), np.uint8)
+    for channel, value in enumerate(element):
+        image[..., channel] = value
+    _put_pixels(out, image.reshape(-1, 4), False, 0, limit)
 
 
 def _bundle(colours: int) -> int:
@@ -361,7 +585,7 @@ def _predict(mode, left, top, right, corner):
     """Predictions from neighbours, as integer arrays of four channels."""
     mean = lambda a, b: (a + b) >> 1
     if mode == 0:
-        return np.broadcast_to(np.array([0, 0, 0, 255]), top.shape)
+        return np.broadcast_to(np.array([0, 0, 0, 255], top.dtype), top.shape)
     if mode in (1, 2, 3, 4):
         return (left, top, right, corner)[mode - 1]
     if mode == 5:
@@ -383,16 +607,16 @@ def _predict(mode, left, top, right, corner):
         return np.clip(left + top - corner, 0, 255)
     if mode == 13:
         a = mean(left, top)
-        return np.clip(a + np.trunc((a - corner) / 2).astype(np.int64), 0, 255)
+        return np.clip(a + ((a - corner + (a < corner)) >> 1), 0, 255)
     raise ValueError("predictor modes are 0 to 13")
 
 
 def _predicted(image: np.ndarray, mode: int) -> np.ndarray:
     """What a known image's pixels are predicted as."""
-    x = image.astype(np.int64)
+    x = image.astype(np.int16)
     flat = x.reshape(-1, 4)
     w = image.shape[1]
-    before = lambda n: np.concatenate([np.zeros((min(n, len(flat)), 4), np.int64), flat[: max(0, len(flat) - n)]]).reshape(x.shape)
+    before = lambda n: np.concatenate([np.zeros((min(n, len(flat)), 4), np.int16), flat[: max(0, len(flat) - n)]]).reshape(x.shape)
     left, top, right, corner = before(1), before(w), before(w - 1) if w > 1 else x * 0, before(w + 1)
     if w == 1:
         right = left
@@ -426,17 +650,41 @@ def _inverse_predictor(image: np.ndarray, modes: np.ndarray, bits: int) -> np.nd
             elif mode == 1:
                 out[span] = (np.cumsum(np.concatenate([out[a + x - 1 : a + x], out[span]]), axis=0)[1:]) & 255
             else:
-                for i in range(a + x, a + stop):
-                    out[i] = (out[i] + _predict(mode, out[i - 1], out[i - width], out[i - width + 1], out[i - width - 1])) & 255
+                out[span] = _rest_of_line(mode, out[a + x - 1].tolist(), top.tolist(), right.tolist(), corner.tolist(), out[span].tolist())
             x = stop
     return out.astype(np.uint8).reshape(image.shape)
 
 
+def _rest_of_line(mode: int, left: list, top: list, right: list, corner: list, line: list) -> list:
+    """Pixels of a line under a mode that looks to the left: each needs the one before."""
+    out = []
+    for t, r, c, x in zip(top, right, corner, line):
+        if mode == 5:
+            p = [((a + d) // 2 + b) // 2 for a, b, d in zip(left, t, r)]
+        elif mode == 6:
+            p = [(a + d) // 2 for a, d in zip(left, c)]
+        elif mode == 7:
+            p = [(a + b) // 2 for a, b in zip(left, t)]
+        elif mode == 10:
+            p = [((a + e) // 2 + (b + d) // 2) // 2 for a, b, d, e in zip(left, t, r, c)]
+        elif mode == 11:
+            p = left if sum(abs(b - e) for b, e in zip(t, c)) < sum(abs(a - e) for a, e in zip(left, c)) else t
+        elif mode == 12:
+            p = [min(255, max(0, a + b - e)) for a, b, e in zip(left, t, c)]
+        elif mode == 13:
+            p = [min(255, max(0, m + (m - e + (m < e) >> 1))) for m, e in zip([(a + b) // 2 for a, b in zip(left, t)], c)]
+        else:
+            raise ValueError("predictor modes are 0 to 13")
+        left = [a + b & 255 for a, b in zip(x, p)]
+        out.append(left)
+    return out
+
+
 def _cross(image: np.ndarray, elements: np.ndarray, sign: int) -> np.ndarray:
     """Adds (sign 1) or takes away what green tells of red and blue, and red of blue."""
-    small = lambda v: ((np.asarray(v, np.int64) + 128) & 255) - 128
+    small = lambda v: np.asarray(v).astype(np.int8).astype(np.int32)
     delta = lambda e, c: small(e) * small(c) >> 5
-    red, green, blue = (image[..., k].astype(np.int64) for k in (R, G, B))
+    red, green, blue = (image[..., k].astype(np.int32) for k in (R, G, B))
     changed = (red + sign * delta(elements[..., 0], green)) & 255
     true_red = changed if sign > 0 else red
     blue = (blue + sign * (delta(elements[..., 1], green) + delta(elements[..., 2], true_red))) & 255
@@ -462,20 +710,37 @@ def _read_code(bits: Reader, alphabet: int) -> Table:
     left = alphabet
     if bits.take(1):
         left = 2 + bits.take(2 + 2 * bits.take(3))
-    table, at, last = Table(meta), 0, 8
-    while at < alphabet and left > 0:
+    table, last, data = Table(meta), 8, bits.data
+    symbols, sizes, mask = table.symbols.tolist(), table.sizes.tolist(), (1 << table.width) - 1
+    found: list[int] = []
+    p = bits.at >> 3
+    have = 256 - (bits.at & 7)
+    held = int.from_bytes(data[p : p + 32], "little") >> (bits.at & 7)
+    p += 32
+    while len(found) < alphabet and left > 0:
         left -= 1
-        s = bits.symbol(table)
+        if have < 16:
+            held |= int.from_bytes(data[p : p + 32], "little") << have
+            have += 256
+            p += 32
+        code = held & mask
+        s, size = symbols[code], sizes[code]
         if s < 16:
-            lengths[at] = s
+            found.append(s)
             last = s or last
-            at += 1
-            continue
-        value, run = (last, 3 + bits.take(2)) if s == 16 else (0, 3 + bits.take(3) if s == 17 else 11 + bits.take(7))
-        lengths[at : at + run] = value
-        at += run
-    if at > alphabet:
+        else:
+            extra = (2, 3, 7)[s - 16]
+            run = (held >> size & ((1 << extra) - 1)) + (11 if s == 18 else 3)
+            found += [last if s == 16 else 0] * run
+            size += extra
+        held >>= size
+        have -= size
+    bits.at = 8 * p - have
+    if bits.at > 8 * (len(data) - PAD):
+        raise ValueError("the image ends early")
+    if len(found) > alphabet:
         raise ValueError("too many code lengths")
+    lengths[: len(found)] = found
     return Table(lengths)
 
 
@@ -508,131 +773,138 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-def _windows(bits: Reader, start: int, mask: int) -> np.ndarray:
-    """The bits from each of a window's bits on."""
-    raw = np.frombuffer(bits.data, np.uint8, min(WINDOW + 3, len(bits.data) - start), start).astype(np.uint32)
+def _windows(bits: Reader, start: int, size: int, mask: int) -> np.ndarray:
+    """The bits from each bit of a window of so many bytes on."""
+    raw = np.frombuffer(bits.data, np.uint8, min(size + 3, len(bits.data) - start), start).astype(np.uint32)
     words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
-    return ((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(mask)).ravel()
+    return ((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(mask)).ravel().astype(np.int64)
 
 
-def _read_tokens(bits: Reader, tables: list[Table], n: int) -> np.ndarray:
-    """n pixels where every token is a literal, which the green code's alphabet in use shows."""
-    out = np.empty((n, 4), np.uint8)
+def _read_tokens(bits: Reader, tables: list[Table], n: int, width: int, cache_bits: int) -> np.ndarray:
+    """n pixels of literals, back-references and cache codes, of one code group.
+
+    Where tokens end doesn't depend on pixels, so it is looked up for every bit; only
+    back-references stop the walk. Cached colours are found once all tokens are known.
+    """
+    green, others, far = tables[0], tables[1:4], tables[4]
     widest = max(t.width for t in tables[:4])
-    done = 0
+    if not green.width and (green.symbols[0] >= 256 or not widest):
+        if 256 <= green.symbols[0] < 280:
+            raise ValueError("a back-reference leaves the image")
+        out = np.zeros((n, 4), np.uint8)
+        if green.symbols[0] < 256:
+            out[:] = [tables[(1, 0, 2, 3)[k]].symbols[0] for k in range(4)]
+        return out
+    colours: list[np.ndarray] = []
+    kinds: list[np.ndarray] = []
+    copies: list[tuple[int, int, int]] = []  # tokens before, pixels, distance
+    done = tokens = 0
     while done < n:
         base = bits.at >> 3 << 3
-        codes = _windows(bits, base >> 3, (1 << widest) - 1)
+        codes = _windows(bits, base >> 3, min(WINDOW, 8 * (n - done) + PAD), (1 << widest) - 1)
         last = len(codes) - 64
         if last <= bits.at - base:
             raise ValueError("the image ends early")
-        at = np.arange(len(codes), dtype=np.int32)
-        for t in tables[:4]:
-            sizes = t.sizes[codes & np.uint32((1 << t.width) - 1)] if t.width < widest else t.sizes[codes]
-            at += sizes[at]
-            np.minimum(at, len(codes) - 1, out=at)
-        jump, p, found, room = memoryview(at), bits.at - base, [], n - done
-        put = found.append
-        if widest == 0:
-            found = [p] * room
-        else:
-            while p < last and room:
+        places = np.arange(len(codes))
+        cut = lambda t: codes if t.width == widest else codes & ((1 << t.width) - 1)
+        code = cut(green)
+        symbol = green.symbols.take(code)
+        first = places[:last] + green.sizes.take(code[:last])
+        jump, step, before = places, places, None
+        after = first
+        for t in others:
+            if t is not before:
+                step, before = places + t.sizes.take(cut(t)), t
+            after = step.take(after)
+        jump = np.concatenate([after, places[last:]])
+        special = np.nonzero(symbol[:last] >= 256)[0]
+        jump[special] = np.where(symbol[special] >= 280, first[special], special)  # the walk stops at copies
+        twice = jump.take(jump)
+        leap = memoryview(twice.take(twice))
+        chains: list[np.ndarray] = []
+        p = bits.at - base
+        while p < last and done < n:
+            found: list[int] = []
+            put = found.append
+            while (q := leap[p]) != p:
                 put(p)
-                p = jump[p]
-                room -= 1
-        starts = np.array(found, dtype=np.int32)
-        for t, channel in zip(tables, READ_ORDER):
-            code = codes[starts] & np.uint32((1 << t.width) - 1)
-            out[done : done + len(starts), channel] = t.symbols[code]
-            starts = starts + t.sizes[code]
-        done += len(found)
+                p = q
+            if found:
+                at = np.array(found)
+                chain = np.empty((len(at), 4), np.int64)
+                chain[:, 0], chain[:, 1], chain[:, 2] = at, jump.take(at), twice.take(at)
+                chain[:, 3] = jump.take(chain[:, 2])
+                chain = chain.ravel()
+                chain = chain[: int(np.searchsorted(chain, p))][: n - done]
+                chains.append(chain)
+                done += len(chain)
+                tokens += len(chain)
+                if done == n:
+                    p = int(jump[chain[-1]])
+                    break
+            if p < last:
+                bits.at = base + int(first[p])
+                size = _value(bits, int(symbol[p]) - 256)
+                distance = _distance(_value(bits, bits.symbol(far)), width)
+                if distance > done or size > n - done:
+                    raise ValueError("a back-reference leaves the image")
+                copies.append((tokens, size, distance))
+                done += size
+                p = bits.at - base
         bits.at = base + p
-    return out
-
-
-def _read_runs(bits: Reader, tables: list[Table], n: int, width: int, cache_bits: int) -> np.ndarray:
-    """n pixels of literals, back-references and cache codes, of one code group.
-
-    Token ends don't depend on pixels, so they are looked up for every bit as for
-    literals; only copies and cached colours are then filled in one after another.
-    """
-    out = np.zeros((n, 4), np.uint8)
-    green, red, blue, alpha, far = tables
-    widest = max(t.width for t in tables)
-    cache = np.zeros((1 << cache_bits, 4), np.uint8) if cache_bits else None
-    pixel = 0
-    while pixel < n:
-        base = bits.at >> 3 << 3
-        codes = _windows(bits, base >> 3, (1 << widest) - 1)
-        last = len(codes) - 128
-        if last <= bits.at - base:
+        if bits.at > 8 * (len(bits.data) - PAD):
             raise ValueError("the image ends early")
-        cut = lambda t, at: codes[at] & np.uint32((1 << t.width) - 1)
-        edge = len(codes) - 1
-        after = np.arange(len(codes), dtype=np.int32)
-        code = cut(green, slice(None))
-        symbol = green.symbols[code]
-        after += green.sizes[code]
-        np.minimum(after, edge, out=after)
-        first = after
-        for t in (red, blue, alpha):
-            sizes = t.sizes[codes & np.uint32((1 << t.width) - 1)]
-            after = np.minimum(after + sizes[after], edge)
-        special = np.nonzero(symbol >= 256)[0]
-        after = after.astype(np.int32)
-        after[special] = -first[special] - 1  # told apart below
-        jump, kinds, p = memoryview(after), memoryview(symbol), bits.at - base
-        starts: list[int] = []
-        room = n - pixel
-        put = starts.append
-        while p < last and room:
-            q = jump[p]
-            if q >= 0:
-                put(p)
-                p = q
-                room -= 1
-                continue
-            q, s = -q - 1, kinds[p]
-            pixel = _fill(out, codes, starts, pixel, tables, cache, cache_bits)
-            starts.clear()
-            if s >= 280:
-                if cache is None:
-                    raise ValueError("a cache code without a cache")
-                out[pixel] = cache[s - 280]
-                pixel += 1
-                room -= 1
-                p = q
+        if not chains:
+            continue
+        at = np.concatenate(chains) if len(chains) > 1 else chains[0]
+        kinds.append(symbol[at])
+        part = np.empty((len(at), 4), np.uint8)
+        part[:, G] = kinds[-1]
+        at = first[at]
+        for t, channel in zip(others, READ_ORDER[1:]):
+            code = codes.take(at, mode="clip") & ((1 << t.width) - 1)
+            part[:, channel] = t.symbols.take(code)
+            at = at + t.sizes.take(code)
+        colours.append(part)
+    pixels = np.concatenate(colours) if len(colours) != 1 else colours[0]
+    kind = np.concatenate(kinds)
+    of = np.arange(n)  # the token of each pixel
+    if copies:
+        sizes, shift = np.zeros(tokens + 1, np.int64), 0
+        for before, size, _ in copies:
+            sizes[before] += size
+        own = np.arange(tokens) + np.cumsum(sizes)[:tokens]
+        of[own] = np.arange(tokens)
+        for before, size, distance in copies:
+            a = before + shift
+            shift += size
+            if distance == 1:
+                of[a : a + size] = of[a - 1]
                 continue
-            bits.at = base + q
-            size = _value(bits, s - 256)
-            distance = _distance(_value(bits, bits.symbol(far)), width)
-            p = bits.at - base
-            if distance > pixel or size > room:
-                raise ValueError("a back-reference leaves the image")
-            for a in range(pixel, pixel + size, distance):
-                k = min(distance, pixel + size - a)
-                out[a : a + k] = out[a - distance : a - distance + k]
-            if cache is not None:
-                cache[_cache_index(out[pixel : pixel + size], cache_bits)] = out[pixel : pixel + size]
-            pixel += size
-            room -= size
-        pixel = _fill(out, codes, starts, pixel, tables, cache, cache_bits)
-        bits.at = base + p
-    return out
-
-
-def _fill(out, codes, starts, pixel, tables, cache, cache_bits) -> int:
-    """Writes the literals that begin at starts; the next pixel."""
-    if not starts:
-        return pixel
-    at, put = np.array(starts, np.int32), slice(pixel, pixel + len(starts))
-    for t, channel in zip(tables, READ_ORDER):
-        code = codes[at] & np.uint32((1 << t.width) - 1)
-        out[put, channel] = t.symbols[code]
-        at = at + t.sizes[code]
-    if cache is not None:
-        cache[_cache_index(out[put], cache_bits)] = out[put]
-    return put.stop
+            for b in range(a, a + size, distance):
+                k = min(distance, a + size - b)
+                of[b : b + k] = of[b - distance : b - distance + k]
+    else:
+        own = of
+    cached = kind >= 280
+    if cached.any():
+        if not cache_bits:
+            raise ValueError("a cache code without a cache")
+        slot = np.where(cached, kind - 280, _cache_index(pixels, cache_bits))
+        seen = slot[of].astype(np.uint16)
+        order = np.argsort(seen, kind="stable")
+        held = np.full(n, n)  # the pixel before in the same slot
+        follows = seen[order[1:]] == seen[order[:-1]]
+        held[order[1:][follows]] = order[:-1][follows]
+        source = np.append(own[of], n)
+        source[own[cached]] = held[own[cached]]
+        while True:
+            further = source[source]
+            if (further == source).all():
+                break
+            source = further
+        return np.concatenate([pixels[of], np.zeros((1, 4), np.uint8)])[source[:n]]
+    return pixels[of] if copies else pixels
 
 
 def _read_groups(bits: Reader, groups: list, which: np.ndarray, block_bits: int, n: int, width: int, cache_bits: int) -> np.ndarray:
@@ -677,10 +949,8 @@ def _read_image(bits: Reader, width: int, height: int, main: bool) -> np.ndarray
     n = width * height
     if which is not None:
         flat = _read_groups(bits, codes, which, block_bits, n, width, cache_bits)
-    elif not cache_bits and codes[0][0].symbols.max() < 256:
-        flat = _read_tokens(bits, codes[0], n)
     else:
-        flat = _read_runs(bits, codes[0], n, width, cache_bits)
+        flat = _read_tokens(bits, codes[0], n, width, cache_bits)
     return flat.reshape(height, width, 4)
 
 

@@ -221,3 +221,35 @@ def test_a_file_of_several_code_groups():
     want[:, :4] = (1, 2, 3, 255)
     want[:, 4:] = [[(9, 8 * bit, 7, 255) for bit in row] for row in picks]
     assert (got == want).all()
+
+
+def test_stored_texts_take_the_transforms_and_caches_that_pay():
+    rng = np.random.default_rng(5)
+    rows = 24
+    slope = (np.arange(rows)[:, None, None] * 2 + np.arange(media.WIDTH)[None, :, None] + rng.integers(0, 2, (rows, media.WIDTH, 4))).astype(np.uint8)
+    grey = np.repeat(rng.integers(0, 256, (rows, media.WIDTH, 1)), 4, axis=2).astype(np.uint8)
+    half = grey.copy()
+    half[..., 0] = grey[..., 0].view(np.int8) // 2
+    words = rng.integers(0, 256, (300, 4)).astype(np.uint8)[rng.integers(0, 300, rows * media.WIDTH)].reshape(rows, media.WIDTH, 4)
+    text = np.frombuffer(media.payload_of("".join(chr(0x4E00 + i % 4000) for i in range(9000)).encode()), np.uint8).reshape(-1, media.WIDTH, 4)
+    images = [slope, grey, half, words, text]
+    plans = webp_lossless.plans(images)
+    assert [str(p) for p in plans] == [str(webp_lossless.plans([x])[0]) for x in images]  # neighbours don't matter
+    assert plans[0]["predictor"] is not None and plans[4]["predictor"] is not None
+    assert plans[1]["subtract_green"] or plans[1]["cross"]
+    assert plans[2]["cross"] and plans[3]["cache_bits"]
+    for image, files in zip(images, media.store_all([x.tobytes() for x in images])):
+        assert media.pixels(files).tobytes() == image.tobytes()
+        assert len(files[0]) < 0.9 * len(webp_lossless.encode(image, cache_bits=0))
+    # blocks that are unlike take modes of their own
+    both = np.concatenate([slope[:16], np.repeat(rng.integers(0, 256, (1, media.WIDTH, 4)), 16, axis=0).astype(np.uint8)])
+    modes = webp_lossless._block_modes(both, 2)
+    assert len(np.unique(modes)) > 1 and (webp_lossless.decode(webp_lossless.encode(both, predictor=modes)) == both).all()
+
+
+def test_cached_colours_behind_copies_and_collisions():
+    rng = np.random.default_rng(6)
+    for bits in (1, 3, 5, 8, 11):
+        pool = rng.integers(0, 256, (40, 4)).astype(np.uint8)
+        image = pool[rng.integers(0, 40, 3000)].repeat(rng.integers(1, 9, 3000), axis=0)[:4320].reshape(-1, media.WIDTH, 4)
+        assert (webp_lossless.decode(webp_lossless.encode(image, cache_bits=bits)) == image).all()
