@@ -2,7 +2,7 @@
 
 The helper that pieces.py runs inside tasks. Texts are cut where no piece of the
 vocabulary can reach across (before a space mark that follows another character), so equal
-words are encoded once and then looked up.
+words are encoded once and then looked up. New words of many texts are merged side by side.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE = 600_000
 SHORT = 48
+TOGETHER = 1 << 19  # characters of new words that are merged at once
 NEVER = float("inf")
 
 
@@ -125,7 +126,8 @@ class PieceModel:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         apart = self.mark == SPACE and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s:.+)")
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self._pairs()
         self.surfaces = [self._surface(p, kind) for p, _, kind in self.pieces]
 
     def _surface(self, piece: str, kind: int) -> bytes:
@@ -213,37 +215,132 @@ class PieceModel:
                 heapq.heappush(heap, (-s, h, i, size + len(parts[h])))
         return [p for p in parts if p is not None]
 
-    def _segment(self, segment: str) -> tuple[bytes, bytes]:
-        """Ids and normalised lengths; of a character's byte pieces the last one holds the character."""
-        ids, sizes = [], []
+    def _segment(self, segment: str) -> bytes:
+        """Pairs of an id and a normalised length; of a character's byte pieces the last one holds the character."""
+        pairs: list[int] = []
         for part in self._merge(segment):
             found = self.ids.get(part)
             if found is not None:
-                ids.append(found)
-                sizes.append(len(part))
-            elif self.byte_fallback:
-                for c in part:
-                    raw = c.encode()
-                    ids += [self.bytes[b] for b in raw]
-                    sizes += [0] * (len(raw) - 1) + [1]
+                pairs += (found, len(part))
             else:
-                ids.append(self.unk)
-                sizes.append(len(part))
-        form = f"<{len(ids)}I"
-        out = struct.pack(form, *ids), struct.pack(form, *sizes)
+                pairs += self._unknown(part)
+        out = struct.pack(f"<{len(pairs)}I", *pairs)
         if len(segment) <= 64:
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[segment] = out
         return out
 
+    def _unknown(self, part: str) -> list[int]:
+        if not self.byte_fallback:
+            return [self.unk, len(part)]
+        pairs: list[int] = []
+        for c in part:
+            for b in c.encode():
+                pairs += (self.bytes[b], 0)
+            pairs[-1] = 1
+        return pairs
+
+    def _pairs(self) -> None:
+        """Sorted keys of the pairs of pieces that merge to a piece, with its id and its rank by score."""
+        ids, width = self.ids, len(self.pieces)
+        found = [(a * width + b, i) for p, i in ids.items() for k in range(1, len(p)) if (a := ids.get(p[:k])) is not None and (b := ids.get(p[k:])) is not None]
+        keys, wholes = np.array(found, np.int64).reshape(-1, 2).T
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ids = np.append(keys[order], np.iinfo(np.int64).max), np.append(wholes[order], 0)
+        ranks = np.unique([-s for _, s, _ in self.pieces], return_inverse=True)[1]
+        self.pair_ranks = ranks[self.pair_ids]
+        self.piece_sizes = np.array([len(p) for p, _, _ in self.pieces], "<u4")
+        # the piece of a single character; those that are none merge with nothing and keep their numbers beyond all pieces
+        self.letters = np.arange(width, width + 0x110000, dtype=np.int32)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.letters[ord(p)] = i
+        self.spelt = all(c in ids for c in set("".join(ids)))
+
+    def _learn(self, segments: list[str]) -> None:
+        """Merges in short new segments, one in each a round: the best-scored, the leftmost of equals."""
+        piece = self.letters[np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")].astype(np.int64)
+        of = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
+        apart, place, width = np.iinfo(np.int64).max, (1 << 20) - 1, len(self.pieces)
+
+        def weigh(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rank and merged piece of the pairs that begin at these places."""
+            key = np.where(np.maximum(piece[at], piece[at + 1]) < width, piece[at] * width + piece[at + 1], -1)
+            k = np.searchsorted(self.pair_keys, key)
+            good = (self.pair_keys[k] == key) & (of[at] == of[at + 1])
+            return np.where(good, self.pair_ranks[k], apart), self.pair_ids[k]
+
+        rank, whole = np.full(len(of), apart), np.zeros(len(of), np.int64)
+        if len(of) > 1:
+            rank[:-1], whole[:-1] = weigh(np.arange(len(of) - 1))
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(of):
+            first = np.nonzero(np.diff(of, prepend=-1))[0]
+            best = np.minimum.reduceat(np.where(rank == apart, apart, (rank << 20) + np.arange(len(of))), first)
+            more = best < apart
+            at = best[more] & place
+            piece[at] = whole[at]
+            keep = np.ones(len(of), bool)
+            keep[at + 1] = False
+            if not more.all():
+                over = np.repeat(~more, np.diff(first, append=len(of)))
+                ended.append((of[over], piece[over]))
+                keep &= ~over
+            moved = np.cumsum(keep) - 1
+            of, piece, rank, whole, at = of[keep], piece[keep], rank[keep], whole[keep], moved[at]
+            rank[at] = apart
+            at = np.concatenate([at, at - 1])
+            at = at[(at >= 0) & (at < len(of) - 1)]
+            rank[at], whole[at] = weigh(at)
+        of, piece = (np.concatenate(x) for x in zip(*ended)) if ended else (of, piece)
+        order = np.argsort(of, kind="stable")
+        of, piece = of[order], piece[order]
+        pairs = np.empty((len(piece), 2), "<u4")
+        pairs[:, 0], pairs[:, 1] = piece, self.piece_sizes.take(piece, mode="clip")
+        data = pairs.tobytes()
+        ends = (8 * np.cumsum(np.bincount(of, minlength=len(segments)))).tolist()
+        begin = 0
+        for segment, end in zip(segments, ends):
+            self.known[segment] = data[begin:end]
+            begin = end
+        odd = np.nonzero(piece >= width)[0]
+        for k in np.unique(of[odd]).tolist():
+            own = piece[np.searchsorted(of, k) : np.searchsorted(of, k, side="right")].tolist()
+            flat = [v for i in own for v in ((i, len(self.pieces[i][0])) if i < width else self._unknown(chr(i - width)))]
+            self.known[segments[k]] = struct.pack(f"<{len(flat)}I", *flat)
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with begin and end ids, and the source bytes [begin, end) of each."""
-        norm, at = self.normalise(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """encode() of each text; words that are new in them are merged together."""
         known = self.known
-        found = [known.get(s) or self._segment(s) for s in self.segments.findall(norm)]
-        ids = np.frombuffer(b"".join([x[0] for x in found]), "<u4")
-        ends = np.cumsum(np.frombuffer(b"".join([x[1] for x in found]), "<u4"), dtype=np.int64)
+        normal = [self.normalise(t) for t in texts]
+        parts = [self.segments.findall(norm) for norm, _ in normal]
+        if len(known) >= CACHE:
+            known.clear()
+        found = [list(map(known.get, segments)) for segments in parts]
+        missing = [[i for i, x in enumerate(have) if x is None] for have in found]
+        if self.spelt:
+            new, size = [], 0
+            for s in dict.fromkeys(segments[i] for segments, at in zip(parts, missing) for i in at if len(segments[i]) <= SHORT):
+                new.append(s)
+                size += len(s)
+                if size >= TOGETHER:
+                    self._learn(new)
+                    new, size = [], 0
+            if new:
+                self._learn(new)
+        for segments, have, at in zip(parts, found, missing):
+            for i in at:
+                have[i] = known.get(segments[i]) or self._segment(segments[i])
+        return [self._joined(have, at) for have, (_, at) in zip(found, normal)]
+
+    def _joined(self, found: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, sizes = np.frombuffer(b"".join(found), "<u4").reshape(-1, 2).T
+        ends = np.cumsum(sizes, dtype=np.int64)
         begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         edge = lambda a, b, x: np.concatenate([[a], x, [b]])
         last = int(at[-1])
@@ -252,10 +349,10 @@ class PieceModel:
     # decoding
 
     def decode(self, ids: np.ndarray) -> str:
-        surfaces = self.surfaces
-        out = b"".join([surfaces[i] for i in ids.tolist()])
+        ids = ids.tolist()
+        out = b"".join(map(self.surfaces.__getitem__, ids))
         if self.dummy or self.squeeze:
-            first = next((i for i in ids.tolist() if self.pieces[i][2] != CONTROL), None)
+            first = next((i for i in ids if self.pieces[i][2] != CONTROL), None)
             if first is not None and self.pieces[first][2] == NORMAL and out[:1] == b" ":
                 out = out[1:]
         try:

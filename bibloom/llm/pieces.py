@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from bibloom.llm.common import documents, text_of
 from bibloom.llm.piece_model import PieceModel
 
+AT_ONCE = 1 << 16  # characters of texts that are encoded at once
 MODEL = "piece_bpe_32k.model"
 _MODELS: dict[str, PieceModel] = {}
 
@@ -43,6 +44,20 @@ def model_of(data: bytes) -> PieceModel:
     return _MODELS[key]
 
 
+def together(texts: pd.Series) -> Iterator[list[str]]:
+    """Texts in lists that are encoded at once."""
+    some: list[str] = []
+    size = 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size >= AT_ONCE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _shared(docs: DataFrame, path: str):
     with open(path, "rb") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
@@ -56,7 +71,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = model_of(shared.value)
         for texts in parts:
-            rows = [model.encode(t) for t in texts]
+            rows = [e for some in together(texts) for e in model.encode_all(some)]
             yield pd.DataFrame({n: pd.Series([r[k].astype(np.int32) for r in rows], dtype=object) for k, n in enumerate(("ids", "begins", "ends"))})
 
     return docs.select(F.col(id_col).alias(id_col), run(text_of(text_col)).alias("e")).select(id_col, "e.*")
@@ -89,8 +104,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for texts in parts:
             rows = []
-            for text in texts:
-                ids, begins, ends = model.encode(text)
+            for ids, begins, ends in (e for some in together(texts) for e in model.encode_all(some)):
                 spans = np.stack([begins, ends], axis=1).astype("<u4")
                 rows.append((len(ids), digest(ids.tobytes()), digest(model.decode(ids).encode()), digest(spans.tobytes())))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from bibloom.llm import media, pieces, webp_lossless
+from bibloom.llm import media, piece_model, pieces, webp_lossless
 from bibloom.llm.piece_model import PieceModel, fields
 
 from . import cases
@@ -253,3 +253,21 @@ def test_cached_colours_behind_copies_and_collisions():
         pool = rng.integers(0, 256, (40, 4)).astype(np.uint8)
         image = pool[rng.integers(0, 40, 3000)].repeat(rng.integers(1, 9, 3000), axis=0)[:4320].reshape(-1, media.WIDTH, 4)
         assert (webp_lossless.decode(webp_lossless.encode(image, cache_bits=bits)) == image).all()
+
+
+def test_new_words_of_many_texts_merge_together(both, monkeypatch):
+    model, library = both
+    rng = random.Random(9)
+    letters = "abcdeghilmnorst-.0123456789ÄßéżΩЖ中文🙂\t\n"
+    texts = ["", " ", "aaaa aaaa", "▁ ▁▁x"] + [" ".join("".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    tried = []
+    merge = PieceModel._merge
+    monkeypatch.setattr(PieceModel, "_merge", lambda self, segment: tried.append(len(segment)) or merge(self, segment))
+    model.known.clear()
+    got = [e[0].tolist() for e in model.encode_all(texts)]
+    assert got == [library.encode(t, add_bos=True, add_eos=True) for t in texts]
+    assert all(n > piece_model.SHORT for n in tried)  # words are merged by themselves only where they are long
+    one = [model.encode(t) for t in texts]
+    model.known.clear()
+    for a, b in zip(model.encode_all(texts), one):
+        assert all((x == y).all() for x, y in zip(a, b))
