@@ -33,9 +33,12 @@ SIDE_BY_SIDE = 1 << 15  # pixels that the writer weighs together
 MODES = range(1, 14)  # predictors that it weighs: number 0 leaves pixels as they are
 CACHES = (5, 8)  # colour caches that it weighs, in bits
 BLOCK = 4
+NEVER = 1 << 60
 SYMBOL, TRANSFORM = 16 * 6, 16 * 80  # about what a symbol in a code's header, and a transform, take
 R, G, B, A = range(4)  # channels of a pixel array
 READ_ORDER = (G, R, B, A)
+# once so large a block was freed, the C library keeps smaller ones for the next image instead of giving them back
+np.empty(30 << 20, np.uint8)
 
 
 # --- prefix codes
@@ -120,8 +123,7 @@ class Writer:
         self.values.append(value)
         self.sizes.append(size)
 
-    def put_all(self, fields: list[tuple[int, int]]) -> None:
-        values, sizes = zip(*fields)
+    def put_all(self, values: list[int], sizes: list[int]) -> None:
         self.values += values
         self.sizes += sizes
 
@@ -193,38 +195,50 @@ def _value_code(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, v & ((1 << size) - 1), size
 
 
-def _code_header(lengths: np.ndarray) -> list[tuple[int, int]]:
-    """How a code is written, as (value, size) fields."""
-    used = np.nonzero(lengths)[0].tolist()
-    if len(used) <= 2 and (not used or max(used) < 256):
-        used = used or [0]
-        return [(1, 1), (len(used) - 1, 1), (1, 1), *((s, 8) for s in used)]
-    tokens: list[tuple[int, int, int]] = []
+def _code_header(lengths: np.ndarray) -> tuple[list[int], list[int]]:
+    """How a code is written: values and their sizes in bits."""
+    used = np.nonzero(lengths)[0]
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        used = used.tolist() or [0]
+        return [1, len(used) - 1, 1, *used], [1, 1, 1, *(8 for _ in used)]
+    symbols: list[int] = []
+    extras: dict[int, tuple[int, int]] = {}
     begins = [0, *(np.nonzero(lengths[1:] != lengths[:-1])[0] + 1).tolist(), len(lengths)]
-    for value, run in zip(lengths[begins[:-1]].tolist(), [b - a for a, b in zip(begins, begins[1:])]):
+    for value, a, b in zip(lengths[begins[:-1]].tolist(), begins, begins[1:]):
+        run = b - a
+        if run < 3:
+            symbols += (value,) * run
+            continue
         if value == 0:
             while run >= 11:
                 n = min(run, 138)
-                tokens.append((18, n - 11, 7))
+                extras[len(symbols)] = n - 11, 7
+                symbols.append(18)
                 run -= n
             if run >= 3:
-                tokens.append((17, run - 3, 3))
+                extras[len(symbols)] = run - 3, 3
+                symbols.append(17)
                 run = 0
         elif run >= 4:
-            tokens.append((value, 0, 0))
+            symbols.append(value)
             run -= 1
             while run >= 3:
                 n = min(run, 6)
-                tokens.append((16, n - 3, 2))
+                extras[len(symbols)] = n - 3, 2
+                symbols.append(16)
                 run -= n
-        tokens += [(value, 0, 0)] * run
-    meta = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
-    codes, sizes, single = canonical(meta).tolist(), meta.tolist(), int((meta > 0).sum()) == 1
-    n = max(4, max(i for i, s in enumerate(CODE_LENGTH_ORDER) if sizes[s]) + 1)
-    out = [(0, 1), (n - 4, 4), *((sizes[s], 3) for s in CODE_LENGTH_ORDER[:n]), (0, 1)]
+        symbols += (value,) * run
+    meta = code_lengths(np.bincount(symbols, minlength=19), 7)
+    codes, sizes, single = canonical(meta).tolist(), meta.tolist(), int(np.count_nonzero(meta)) == 1
+    ordered = [sizes[s] for s in CODE_LENGTH_ORDER]
+    n = max(4, max(i for i, s in enumerate(ordered) if s) + 1)
     if single:
         codes = sizes = [0] * 19
-    return out + [(codes[symbol] | extra << sizes[symbol], sizes[symbol] + size) for symbol, extra, size in tokens]
+    values, widths = [codes[s] for s in symbols], [sizes[s] for s in symbols]
+    for at, (extra, size) in extras.items():
+        values[at] |= extra << widths[at]
+        widths[at] += size
+    return [0, n - 4, *ordered[:n], 0, *values], [1, 4, *[3] * n, 1, *widths]
 
 
 def _cache_index(pixels: np.ndarray, bits: int) -> np.ndarray:
@@ -271,6 +285,7 @@ class _Side:
         self.image = np.repeat(np.arange(self.n), heights * self.width)
         self.starts = np.concatenate([[0], np.cumsum(heights * self.width)[:-1]])
         self.place = self.image[:, None] * 1024 + np.arange(4) * 256
+        self.sum = np.empty_like(self.place)
         wide = self.flat.astype(np.int16)
         before = lambda d: np.concatenate([np.zeros((min(d, len(wide)), 4), np.int16), wide[: max(0, len(wide) - d)]])
         w = self.width
@@ -300,9 +315,18 @@ class _Side:
         return self.flat - predicted
 
     def counts(self, pixels: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
-        at = self.place + pixels if some is None else self.place[some] + pixels[some]
+        if some is None:
+            at = np.add(self.place, pixels, out=self.sum)
+        else:
+            some = np.nonzero(some)[0]
+            at = self.place.take(some, axis=0) + pixels.take(some, axis=0)
         return np.bincount(at.ravel(), minlength=self.n * 1024).reshape(self.n, 4, 256)
 
+    def bent(self, small: np.ndarray, a: int, b: int, slope: np.ndarray) -> np.ndarray:
+        """Counts of one channel less what another tells of it."""
+        left = small[:, b] - (small[:, a] * slope[self.image] >> 5) & 255
+        return np.bincount(self.place_green + left, minlength=self.n * 256).reshape(self.n, 256)
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.starts)
 
@@ -338,13 +362,17 @@ def _plans(images: list[np.ndarray]) -> list[dict]:
     strips = [_Side(images)] if len(images) > 1 else [_Side([images[0][y : y + rows]]) for y in range(0, len(images[0]), rows)]
     total = lambda f: sum(f(k) for k in range(len(strips)))
     every = np.arange(len(images))
-    plain = _taken(total(lambda k: strips[k].counts(strips[k].flat)))
+    counted = [s.counts(s.flat) for s in strips]
+    plain = _taken(sum(counted))
     green = _taken(total(lambda k: strips[k].counts(_green_taken(strips[k].flat))))
-    # the predictor that leaves least of green is weighed with all channels
-    mode = np.argmin(np.stack([_bits(total(lambda k, m=m: strips[k].greens(m))) for m in MODES]), axis=0)
-    spatial = _taken(total(lambda k: strips[k].counts(_picked(strips[k], mode, every >= 0))))
+    # the predictor that leaves least of green is weighed with all channels, where it leaves less than there was
+    greens = np.stack([_bits(total(lambda k, m=m: strips[k].greens(m))) for m in MODES])
+    mode, hopeful = np.argmin(greens, axis=0), greens.min(axis=0) < _bits(sum(counted)[:, G])
     blocks = np.array([np.prod(_blocks(x.shape[1], len(x), BLOCK)) for x in images])
-    spatial += TRANSFORM + 2 * 16 * blocks
+    spatial = np.full(len(images), NEVER)
+    if hopeful.any():
+        weighed = _taken(total(lambda k: strips[k].counts(_picked(strips[k], mode, hopeful)))) + TRANSFORM + 2 * 16 * blocks
+        spatial[hopeful] = weighed[hopeful]
     predicted = spatial < np.minimum(plain, green)
     best = np.where(predicted, spatial, plain)
 
@@ -355,23 +383,31 @@ def _plans(images: list[np.ndarray]) -> list[dict]:
     best = np.minimum(best, green)
 
     # cross-colour: the slopes of red and blue on green, of blue on red
-    small = [x.view(np.int8).astype(np.int64) for x in left]
+    small = [np.asfortranarray(x.view(np.int8)).astype(np.int64) for x in left]
     slope = lambda a, b: np.clip(
         np.rint(32 * total(lambda k: strips[k].sums(small[k][:, a] * small[k][:, b])) / np.maximum(1, total(lambda k: strips[k].sums(small[k][:, a] ** 2)))), -128, 127
     ).astype(np.int64)
-    red, blue, none = slope(G, R), slope(G, B), every * 0
-    elements = [np.stack(x, axis=1) for x in ((red, blue, none), (red, none, slope(R, B)))]
-    crossed = [_taken(total(lambda k, e=e: strips[k].counts(_cross(left[k], e[strips[k].image], -1)))) for e in elements]
-    crossed = np.stack(crossed) + TRANSFORM + 3 * 16 * 8 + np.where(predicted, TRANSFORM + 2 * 16 * blocks, 0)
-    cross = np.where(crossed.min(axis=0) < best, crossed.argmin(axis=0), -1)
+    red, blue, again, none = slope(G, R), slope(G, B), slope(R, B), every * 0
+    elements = [np.stack(x, axis=1) for x in ((red, blue, none), (red, none, again))]
+    # weighed with all channels where red or blue by itself gets less
+    if predicted.any():
+        counted = [s.counts(x) for s, x in zip(strips, left)]
+    tried = ((G, R, red), (G, B, blue), (R, B, again))
+    hopeful = np.logical_or.reduce([_bits(total(lambda k: strips[k].bent(small[k], a, b, e))) < _bits(sum(counted)[:, b]) for a, b, e in tried])
+    cross = every * 0 - 1
+    if hopeful.any():
+        crossed = np.stack([_taken(total(lambda k, e=e: strips[k].counts(_cross(left[k], e[strips[k].image], -1)))) for e in elements])
+        crossed += TRANSFORM + 3 * 16 * 8 + np.where(predicted, TRANSFORM + 2 * 16 * blocks, 0)
+        cross = np.where(hopeful & (crossed.min(axis=0) < best), crossed.argmin(axis=0), -1)
     for k, s in enumerate(strips):
-        those = (subtract & (cross < 0))[s.image]
-        left[k][those] = _green_taken(left[k][those])
-        for j, e in enumerate(elements):
-            those = (cross == j)[s.image]
-            left[k][those] = _cross(left[k][those], e[s.image[those]], -1)
+        for j, chosen in enumerate((subtract & (cross < 0), cross == 0, cross == 1)):
+            if chosen.any():
+                those = chosen[s.image]
+                left[k][those] = _cross(left[k][those], elements[j - 1][s.image[those]], -1) if j else _green_taken(left[k][those])
 
     # colour caches, for pixels that don't repeat the one before
+    if subtract.any() or (cross >= 0).any():
+        counted = [s.counts(x) for s, x in zip(strips, left)]
     alone = []
     for k, s in enumerate(strips):
         packed = left[k].view("<u4").ravel()
@@ -379,13 +415,14 @@ def _plans(images: list[np.ndarray]) -> list[dict]:
         fresh[1:] = packed[1:] != packed[:-1]
         fresh[s.starts] = True
         alone.append(fresh)
-    taken = [_taken(total(lambda k: strips[k].counts(left[k], alone[k])))]
+        counted[k] -= s.counts(left[k], ~fresh)
+    taken = [_taken(sum(counted))]
     for b in CACHES:
         counts, slots = 0, 0
         for k, s in enumerate(strips):
             slot = s.image << b | _cache_index(left[k], b)
             hit = _repeats(slot.astype(np.uint16), left[k]) & alone[k]
-            counts += s.counts(left[k], alone[k] & ~hit)
+            counts += counted[k] - s.counts(left[k], hit)
             slots += np.bincount(slot[hit], minlength=s.n << b).reshape(s.n, -1)
         taken.append(_taken(counts, slots) + SYMBOL * np.count_nonzero(slots, axis=1))
     cache = np.argmin(np.stack(taken), axis=0)
@@ -470,17 +507,17 @@ def _put_pixels(out: Writer, pixels: np.ndarray, main: bool, cache_bits: int, li
     slots = _cache_index(pixels[cached], cache_bits) if cache_bits else np.zeros(0, np.int64)
     counts = [np.bincount(lit[:, G], minlength=ALPHABETS[0] + (1 << cache_bits if cache_bits else 0))]
     counts[0] += np.bincount(256 + copy_symbol, minlength=len(counts[0])) + np.bincount(280 + slots, minlength=len(counts[0]))
-    others = [np.bincount(lit[:, c], minlength=256) for c in (R, B, A)]
-    joint = others[0] + others[1] + others[2]
-    if _bits(joint) <= sum(_bits(x) for x in others):  # one code for three channels saves headers
+    others = np.bincount((lit[:, [R, B, A]] + np.array([0, 256, 512])).ravel(), minlength=768).reshape(3, 256)
+    joint = others.sum(axis=0)
+    if _bits(joint) <= _bits(others).sum():  # one code for three channels saves headers
         others = [joint]
-    near = np.zeros(40, np.int64)
+    near = np.zeros(2, np.int64)
     near[1] = len(sizes)  # distance code 2: the pixel to the left
     lengths = [code_lengths(c, limit) for c in (counts[0], *others, near)]
     headers = [_code_header(x) for x in lengths]
     which = (0, 1, 1, 1, 2) if len(others) == 1 else (0, 1, 2, 3, 4)
     for k in which:
-        out.put_all(headers[k])
+        out.put_all(*headers[k])
     alone = [np.count_nonzero(x) < 2 for x in lengths]  # such a code takes no bits
     codes = [np.zeros_like(x) if one else canonical(x) for x, one in zip(lengths, alone)]
     bits = [np.zeros_like(x) if one else x for x, one in zip(lengths, alone)]

@@ -271,3 +271,22 @@ def test_new_words_of_many_texts_merge_together(both, monkeypatch):
     model.known.clear()
     for a, b in zip(model.encode_all(texts), one):
         assert all((x == y).all() for x, y in zip(a, b))
+
+
+def test_copies_from_further_away():
+    lengths = np.zeros(280, np.int64)
+    lengths[[7, 9]], lengths[259] = 2, 1  # two literals, a copy of four pixels
+    codes = webp_lossless.canonical(lengths)
+    for symbol, want in ((0, [7, 9, 9, 7]), (1, [7, 7, 7, 7]), (3, [9, 9, 7, 9])):  # the row above, the left, above to the right
+        out = webp_lossless.Writer()
+        for value, size in ((0x2F, 8), (4 - 1, 14), (2 - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+            out.put(value, size)
+        out.put_all(*webp_lossless._code_header(lengths))
+        for field in (*ONE(1), *ONE(2), *ONE(255), *ONE(symbol)):
+            out.put(*field)
+        for s in (7, 9, 9, 7, 259):
+            out.put(int(codes[s]), int(lengths[s]))
+        data = out.data()
+        data += bytes(len(data) & 1)
+        got = webp_lossless.decode(b"RIFF" + (12 + len(data)).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data)
+        assert got[..., 1].tolist() == [[7, 9, 9, 7], want] and (got[..., [0, 2, 3]] == (1, 2, 255)).all()
