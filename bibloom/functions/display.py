@@ -35,13 +35,20 @@ def author_line(authors: Column, most: int = 3) -> Column:
     return F.when(n < 1, NOBODY).when(n <= most, first).otherwise(F.concat(first, F.lit(" +"), n - most))
 
 
+def _nearest_millis(at: Column) -> Column:
+    """A time in whole milliseconds since 1970, halves away from it."""
+    micros = F.unix_micros(at)
+    return F.unix_millis(F.timestamp_micros(micros + F.when(micros < 0, 499).otherwise(500)))
+
+
 def time_ago(text: Column, as_of: Column) -> Column:
     """How long before ``as_of`` a time was: seconds, minutes or hours, from a day on its date (month/day/year).
 
-    The present is a parameter, so that a result can be had again. Null for null; a later time has negative seconds.
+    Both times count to the nearest millisecond. The present is a parameter, so that a result can be had again. Null
+    for null; a later time has negative seconds.
     """
     at = F.try_to_timestamp(text)
-    seconds = F.floor((F.unix_millis(as_of) - F.unix_millis(at)) / 1000)
+    seconds = F.floor((_nearest_millis(as_of) - _nearest_millis(at)) / 1000)
     minutes, hours = F.floor(seconds / 60), F.floor(seconds / 3600)
     shown = F.when(seconds < 60, F.concat(seconds, F.lit("s ago"))).when(minutes < 60, F.concat(minutes, F.lit("m ago"))).when(hours < 24, F.concat(hours, F.lit("h ago")))
     return F.when(text.isNull(), None).when(at.isNull(), NO_TIME).otherwise(shown.otherwise(F.date_format(at, "M/d/yyyy")))

@@ -1,10 +1,14 @@
 """Values as text and merged maps, case by case."""
 
+import datetime
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from bibloom.functions import display
 from bibloom.operators import flow, ledger
+from bibloom.plans import display as plans
 
 
 def test_numbers_and_shares(spark):
@@ -29,6 +33,17 @@ def test_times(spark):
     assert {r[0]: r[1] for r in df.select("raw", display.time_ago(F.col("raw"), F.lit("2024-03-05 12:00:00").cast("timestamp"))).collect()} == want
 
 
+def test_times_to_the_nearest_millisecond(spark, tmp_path):
+    as_of = datetime.datetime(2024, 1, 30, 23, 26, 30)
+    micros = [whole * 1_000_000 + part for whole in (-60, -1, 0, 1, 60, 3600, 86400, 86400 * 20000) for part in (-1001, -1000, -501, -500, -499, -1, 0, 1, 499, 500, 501, 999, 1000)]
+    rows = [(50 * i + 1, as_of - datetime.timedelta(microseconds=m)) for i, m in enumerate(micros) if (50 * i + 1) % 51]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    want = {r[0]: r[1] for r in duckdb.connect().execute(plans.H2_SQL.replace("FROM events)", f"FROM '{tmp_path}/events.parquet/*.parquet')")).fetchall()}
+    assert {r["event_id"]: r["ago"] for r in plans.h2(spark, str(tmp_path)).collect()} == want and len(want) == len(rows)
+    ago = display.time_ago(F.lit("2024-03-05 11:59:30.0005"), F.lit("2024-03-05 12:00:00").cast("timestamp"))
+    assert spark.range(1).select(ago).first()[0] == "29s ago"
+
+
 def test_later_maps_win(spark):
     rows = [({"a": "1", "b": "2"}, {"b": "3"}, {"c": None}), (None, {"a": "1"}, None), ({"a": "1"}, None, {"a": "9"}), (None, None, None)]
     df = spark.createDataFrame(rows, "x map<string,string>, y map<string,string>, z map<string,string>")
