@@ -261,7 +261,7 @@ def e14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "b16_metadata_rows": b16, "b17_ranking_view": b17, "b18_path_view": b18, "b19_filled_paths": b19, "b23_link_classes": b23, "c8_title_match_whole": c8_whole, "c9_aliases": c9, "c12_unresolved": c12,
+        "b16_metadata_rows": b16, "b17_ranking_view": b17, "b18_path_view": b18, "b19_filled_paths": b19, "b23_link_classes": b23, "c8_title_match": c8_whole, "c8_title_match_whole": c8_whole, "c9_aliases": c9, "c12_unresolved": c12,
         "c13_verified_references": c13, "c14_lines_in_boxes": c14, "c18_edges_of": c18, "d4_traversal_summary": d4, "d7_run_warnings": d7, "d12_completeness": d12, "d16_weight_summary": d16, "d18_pattern_census": d18,
         "d21_split_summary": d21, "e7_changed_sets": e7, "e8_usable_lines": e8, "e9_distinct_boxes": e9, "e11_reading_order": e11, "e13_stages": e13, "e14_row_totals": e14, "g8_variant_summary": g8, "g9_one_sided": g9,
     }
@@ -269,7 +269,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
-        "b16_metadata_rows": B16_SQL, "b17_ranking_view": B17_SQL, "b18_path_view": B18_SQL, "b19_filled_paths": B19_SQL, "b23_link_classes": B23_SQL, "c8_title_match_whole": C8_WHOLE_SQL, "c9_aliases": C9_SQL, "c12_unresolved": C12_SQL,
+        "b16_metadata_rows": B16_SQL, "b17_ranking_view": B17_SQL, "b18_path_view": B18_SQL, "b19_filled_paths": B19_SQL, "b23_link_classes": B23_SQL, "c8_title_match": C8_WHOLE_SQL, "c8_title_match_whole": C8_WHOLE_SQL, "c9_aliases": C9_SQL, "c12_unresolved": C12_SQL,
         "c13_verified_references": C13_SQL, "c14_lines_in_boxes": C14_SQL, "c18_edges_of": C18_SQL, "d4_traversal_summary": D4_SQL, "d7_run_warnings": D7_SQL, "d12_completeness": D12_SQL, "d16_weight_summary": D16_SQL, "d18_pattern_census": D18_SQL,
         "d21_split_summary": D21_SQL, "e7_changed_sets": e7_sql(), "e8_usable_lines": E8_SQL, "e13_stages": E13_SQL, "g8_variant_summary": G8_SQL, "g9_one_sided": G9_SQL,
     }
