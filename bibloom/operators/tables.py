@@ -49,13 +49,24 @@ def edges_of(papers: DataFrame, edges: DataFrame) -> DataFrame:
     return papers.select("paper_id").join(out, "paper_id", "left").join(into, "paper_id", "left").na.fill(0, ["n_out", "n_in"])
 
 
+def _size_step(n: Column) -> Column:
+    """How many sizes count as one class at n: 1 below 32, then a sixteenth of the power of two at or below."""
+    return F.pow(F.lit(2), F.greatest(F.length(F.bin(n)) - 5, F.lit(0))).cast("long")
+
+
+def _size_class(n: Column) -> Column:
+    """The least size of n's class."""
+    return n - n % _size_step(n)
+
+
 def best_titles(wanted: DataFrame, held: DataFrame, percent: int = 60, block: Sequence[str] = ()) -> DataFrame:
     """(id, candidate, score) of wanted (id, title): the candidate of held (candidate, title, cited) with the most similar title.
 
     Similarity is the Jaccard share of words, at least ``percent``; of equal ones (to three
     digits) the most cited candidate counts, then the first. Equal titles are compared once.
-    Titles so similar share one of their first size - ceil(share * size) + 1 words in any
-    common order, here the rarest first, so no match is lost and common words meet nothing;
+    Titles of m and n words so similar share at least s = share / (1 + share) * (m + n) of them, so
+    also one of the m - s + 1 and n - s + 1 first in any common order, here the rarest first. They
+    meet by such a word and the classes of both sizes, so no match is lost and common words meet little;
     titles without words meet nothing. With ``block``, columns of both, titles meet only where these are equal.
     """
     block = list(block)
@@ -65,13 +76,17 @@ def best_titles(wanted: DataFrame, held: DataFrame, percent: int = 60, block: Se
     split = lambda titles: titles.select(*block, "title", F.explode(title_words(F.col("title"))).alias("word"))
     count = split(best).groupBy(*block, "word").agg(F.count(F.lit(1)).alias("n"))
 
-    def keys(titles: DataFrame, name: str) -> DataFrame:
+    def keys(titles: DataFrame, name: str, own: str, other: str) -> DataFrame:
         words = split(titles).join(count, [*block, "word"], "left").na.fill(0, ["n"])
-        order = words.groupBy(*block, "title").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
-        most = F.size("w") - F.ceil(F.size("w") * percent / 100) + 1
-        return order.select(*block, F.col("title").alias(name), F.explode(F.slice("w", F.lit(1), most.cast("int"))).alias("k")).select(*block, name, "k.word")
-
-    met = keys(texts, "a").join(keys(best, "b"), [*block, "word"]).select(*block, "a", "b").distinct()
+        order = words.groupBy(*block, F.col("title").alias(name)).agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+        n = F.size("w").cast("long")
+        least, most = F.ceil(n * percent / 100), F.floor(n * 100 / percent)
+        classes = F.array_distinct(F.transform(F.sequence(_size_class(least), most, _size_step(least)), _size_class))
+        sized = order.select(*block, name, "w", _size_class(n).alias(own), F.explode(classes).alias(other))
+        shared = F.ceil((n + F.greatest(least, F.col(other))) * percent / (100 + percent))
+        return sized.select(*block, name, own, other, F.explode(F.slice("w", F.lit(1), (n - shared + 1).cast("int"))).alias("k")).select(*block, name, own, other, "k.word")
+
+    met = keys(texts, "a", "size_a", "size_b").join(keys(best, "b", "size_b", "size_a"), [*block, "word", "size_a", "size_b"]).select(*block, "a", "b").distinct()
     alike = met.withColumn("s", title_similarity(F.col("a"), F.col("b"))).filter(100 * F.col("s") >= percent)
     told = alike.join(best.withColumnRenamed("title", "b"), [*block, "b"])
     first = told.groupBy(*block, "a").agg(F.max_by(F.struct("candidate", "s"), F.struct(F.round("s", 3), "cited", -F.col("candidate"))).alias("m"))
